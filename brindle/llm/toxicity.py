@@ -158,7 +158,8 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     prepare(docs.sparkSession)
     marks = labels.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{label_col}`").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sample = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
-    rows = named(docs, id_col, text_col).join(sample, "doc_id").select("doc_id", "text", "toxic")
+    # the sample is bounded by max_train, so it can be broadcast and no text is shuffled
+    rows = named(docs, id_col, text_col).join(F.broadcast(sample), "doc_id").select("doc_id", "text", "toxic")
     found = rows.mapInArrow(lambda it: _hash_batches(it, HASH_BITS), "doc_id bigint, toxic int, terms binary").toArrow().sort_by("doc_id")
     y = found.column("toxic").to_numpy().astype(np.float32)
     if not len(y):
