@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brindle.llm import decontaminate, minhash, packing, rlz, suffixes, toxicity
+from brindle.llm import chat, decontaminate, minhash, packing, rlz, suffixes, toxicity, urlfilter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).where("is_toxic")
 
 
+def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.match(_table(spark, sf_dir, "pages"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -39,13 +43,32 @@ def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.repeats(_table(spark, sf_dir, "documents"))
 
 
+def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_turns(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_substring_dedup": op2_substring_dedup,
     "op4_toxicity": op4_toxicity,
+    "op5_url_filters": op5_url_filters,
     "op6_decontaminate": op6_decontaminate,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
+    "op10_chat_formatting": op10_chat_formatting,
 }
 
-ORACLES: dict[str, str] = {}
+_CHAT_SQL = r"""
+with said as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null
+), ordered as (
+  select *, row_number() over (partition by conv_id order by turn nulls first, role, text) - 1 as position,
+         '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) as piece from said
+), ended as (
+  select *, sum(length(piece)) over (partition by conv_id order by position) as span_end from ordered
+)
+select conv_id, position::INTEGER as position, turn, role, (span_end - length(piece))::INTEGER as span_start, span_end::INTEGER as span_end, piece, false as rewrites from ended
+"""
+
+#: Training, dedup groups, parses, plans and fitted mixtures are beyond SQL; the tests hold them against brute force.
+ORACLES: dict[str, str] = {"op5_url_filters": urlfilter.rules_sql(), "op10_chat_formatting": _CHAT_SQL}
