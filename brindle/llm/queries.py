@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brindle.llm import chat, decontaminate, forest, minhash, packing, rlz, suffixes, toxicity, urlfilter
+from brindle.llm import chat, decontaminate, forest, lm, minhash, packing, rlz, suffixes, toxicity, urlfilter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +43,10 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(_table(spark, sf_dir, "documents"))
+
+
 def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.repeats(_table(spark, sf_dir, "documents"))
 
@@ -59,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_url_filters": op5_url_filters,
     "op6_decontaminate": op6_decontaminate,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op8_lm_scoring": op8_lm_scoring,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_chat_formatting": op10_chat_formatting,
 }
