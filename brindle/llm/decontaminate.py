@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brindle.llm.anchors import binary, spread
-from brindle.llm.runtime import materialise, named, prepare
+from brindle.llm.runtime import materialise, named, prepare, without
 from brindle.llm.textkernel import CHUNK_BYTES, U64, Words, buffers, mix, window_hashes, window_ok, words_of
 
 WINDOW, MIN_LITERALS, MIN_TOKENS = 10, 5, 6
@@ -270,5 +270,4 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
     """``docs`` without the documents that an item leaks into; all columns stay."""
-    gone = leaks(docs, benchmark, id_col=id_col, **options).select(F.col("doc_id").alias("__brindle_gone")).distinct()
-    return docs.join(gone, F.col(f"`{id_col}`").cast("bigint") == F.col("__brindle_gone"), "left_anti")
+    return without(docs, leaks(docs, benchmark, id_col=id_col, **options).select("doc_id").distinct(), id_col)

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brindle.llm.components import components
-from brindle.llm.runtime import materialise, named, prepare
+from brindle.llm.runtime import materialise, named, prepare, without
 from brindle.llm.textkernel import U64, Words, chunks, lower_ascii, mix, window_hashes, window_ok
 
 COORDS, SHINGLE, THRESHOLD, SEED = 64, 3, 0.45, 11
@@ -215,5 +215,4 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
     """``docs`` without the documents that repeat another; all columns stay."""
-    gone = near_duplicates(docs, id_col=id_col, **options).select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, F.col(f"`{id_col}`").cast("bigint") == F.col("__gone"), "left_anti")
+    return without(docs, near_duplicates(docs, id_col=id_col, **options), id_col)

@@ -73,3 +73,17 @@ def named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     Only these two columns are read, so further columns of any name do no harm.
     """
     return docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text")).where("doc_id is not null")
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one, that no column of ``df`` has in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def without(docs: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
+    """``docs`` less the rows whose id is among ``gone``'s ``doc_id``; rows without an id stay."""
+    key = fresh(docs, "gone")
+    return docs.join(gone.select(F.col("doc_id").alias(key)), F.col(f"`{id_col}`").cast("bigint") == F.col(f"`{key}`"), "left_anti")

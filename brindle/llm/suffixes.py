@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brindle.llm.anchors import RUNS, SPAN, binary, covered, flat, join_runs, lists, runs, segments, spread
-from brindle.llm.runtime import materialise, named, prepare
+from brindle.llm.runtime import fresh, materialise, named, prepare
 from brindle.llm.textkernel import chunks, words_of, buffers
 
 SHALLOW = 6
@@ -255,5 +255,7 @@ def cut_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     without an id among them, stay as they are.
     """
     spans = materialise(covered(repeats(docs, id_col=id_col, text_col=text_col, min_words=min_words)))
-    marked = docs.join(spans.select(F.col("doc_id").alias("__brindle_id"), F.col("spans").alias("__brindle_spans")), F.col(f"`{id_col}`").cast("bigint") == F.col("__brindle_id"), "left").drop("__brindle_id")
+    key, found = fresh(docs, "cut_id"), fresh(docs, "cut_spans")
+    spans = spans.select(F.col("doc_id").alias(key), F.col("spans").alias(found))
+    marked = docs.join(spans, F.col(f"`{id_col}`").cast("bigint") == F.col(f"`{key}`"), "left").drop(key)
     return marked.mapInArrow(lambda it: _cut(it, text_col, count_col), docs.schema)
