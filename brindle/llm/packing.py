@@ -36,8 +36,12 @@ from brindle.llm.textkernel import chunks
 CAPACITY, ROUNDS, RATE, STEP = 2048, 1500, 0.5, 1.0
 
 
-def best_configuration(prices: np.ndarray, lengths: np.ndarray, capacity: int) -> np.ndarray:
-    """How often the most valuable configuration has each length (sorted ascending): an unbounded knapsack."""
+def best_configuration(prices: np.ndarray, lengths: np.ndarray, capacity: int, most: np.ndarray | None = None) -> np.ndarray:
+    """How often the most valuable configuration has each length (sorted ascending): an unbounded knapsack.
+
+    With ``most``, bounds on the lengths, the configuration is put together from
+    the unbounded knapsack's table, without those that have run out.
+    """
     dense = np.full(capacity, -np.inf)
     dense[lengths - 1] = prices
     value = np.zeros(capacity + 1)  # from the end: value[capacity - room], so that a room's sums are of slices
@@ -52,12 +56,26 @@ def best_configuration(prices: np.ndarray, lengths: np.ndarray, capacity: int) -
             value[capacity - room] = value[capacity - room + 1]
     out = np.zeros(capacity + 1, dtype=np.int64)
     room = capacity
+    if most is None:
+        while room > 0:
+            if pick[room]:
+                out[pick[room]] += 1
+                room -= int(pick[room])
+            else:
+                room -= 1
+        return out[lengths]
+    # with bounds: the best next length of those that are left, valued by the table
+    there = np.zeros(capacity + 1, dtype=np.int64)
+    there[lengths] = most
     while room > 0:
-        if pick[room]:
-            out[pick[room]] += 1
-            room -= int(pick[room])
-        else:
-            room -= 1
+        sums = np.add(value[capacity - room + 1 :], dense[:room], out=gain[:room])
+        k = int(sums.argmax())
+        if sums[k] == -np.inf:
+            break
+        out[k + 1] += 1
+        room -= k + 1
+        if out[k + 1] == there[k + 1]:
+            dense[k] = -np.inf
     return out[lengths]
 
 
@@ -76,8 +94,7 @@ def fractional(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: i
         if not len(there):
             break
         config = np.zeros(len(lengths), dtype=np.int64)
-        config[there] = best_configuration(prices[there], lengths[there], capacity)
-        config = np.minimum(config, left.astype(np.int64))
+        config[there] = best_configuration(prices[there], lengths[there], capacity, left[there].astype(np.int64))
         has = config > 0
         most = float((left[has] / config[has]).min())
         times = min(most, max(1.0, step * most))
