@@ -3,7 +3,8 @@
 A text becomes a *template*: its tokens (runs of letters and digits, case
 folded) with numbers, names and units replaced by typed placeholders; a run of
 placeholders of one type is one slot.  A name is a token with a capital and then a
-small letter that doesn't begin a sentence; a number begins with a digit; units are a fixed list.
+small letter that doesn't begin a sentence; a number begins with a digit; units are a fixed list.  As
+capitals get lost, a second template leaves names as the words they are.
 
 Windows of ``window`` template tokens of every benchmark item are hash-joined
 with those of every document.  Hits of one document and item on one diagonal
@@ -51,6 +52,7 @@ for _c in range(97, 123):
     _FOLD[_c] = _FOLD[_c - 32] = _c
 _STOP = np.zeros(256, dtype=bool)
 _STOP[[10, 33, 46, 58, 63]] = True
+PLAIN = 1000  # added to a width: windows whose names are left as words
 SLOT = np.dtype([("at", "u1"), ("value", "<u8")])
 _NUMBER, _NAME, _UNIT = 1, 2, 3
 
@@ -92,15 +94,15 @@ class Template:
     first: np.ndarray
 
 
-def canonical(data: np.ndarray, base: np.ndarray) -> Template:
-    """The templates of some texts."""
+def canonical(data: np.ndarray, base: np.ndarray) -> tuple[Template, Template]:
+    """The templates of some texts: with names as slots, and with names as the words they are."""
     folded = _FOLD[data]
     accent = np.flatnonzero((data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)) + 1
     folded[accent] += 32
     words: Words = words_of(folded, base)
     if not len(words.start):
         none = np.zeros(0, dtype=U64)
-        return Template(none, np.zeros(0, np.int8), none, words.first)
+        return (Template(none, np.zeros(0, np.int8), none, words.first),) * 2
     hashed = words.hashes()
     lead = data[words.start]
     kind = np.zeros(len(hashed), dtype=np.int8)
@@ -117,10 +119,14 @@ def canonical(data: np.ndarray, base: np.ndarray) -> Template:
     second = np.where(inside, second, words.start)
     accented = (data[second] == 0xC3) & changed[np.minimum(second + 1, len(data) - 1)]
     capital = changed[np.minimum(words.start + wide, len(data) - 1)] & inside & ~changed[second] & ~accented
-    kind[capital & ~after_stop] = _NAME
     kind[_units.of(hashed)] = _UNIT
     kind[(lead >= 48) & (lead <= 57)] = _NUMBER
-    # runs of one placeholder are one slot
+    named_kind = np.where(capital & ~after_stop & (kind == 0), _NAME, kind)
+    return _template(hashed, named_kind, words.first, head), _template(hashed, kind, words.first, head)
+
+
+def _template(hashed: np.ndarray, kind: np.ndarray, first: np.ndarray, head: np.ndarray) -> Template:
+    """Runs of one placeholder become one slot; ``head`` are the texts' first words."""
     same = np.zeros(len(hashed), dtype=bool)
     same[1:] = (kind[1:] == kind[:-1]) & (kind[1:] > 0)
     same[head] = False
@@ -129,7 +135,7 @@ def canonical(data: np.ndarray, base: np.ndarray) -> Template:
     value = np.add.reduceat(mix(hashed + place.astype(U64)), keep)
     kind = kind[keep]
     token = np.where(kind > 0, mix(kind.astype(U64) + U64(977)), hashed[keep])
-    return Template(token, kind, value, np.searchsorted(keep, words.first))
+    return Template(token, kind, value, np.searchsorted(keep, first))
 
 
 def _slots(found: Template, at: np.ndarray, width: int) -> pa.Array:
@@ -143,19 +149,22 @@ def _slots(found: Template, at: np.ndarray, width: int) -> pa.Array:
     return binary(packed.view(np.uint8), n * SLOT.itemsize)
 
 
-def _texts(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, Template]]:
+def _texts(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, int, Template]]:
+    """Parts of the batch with their templates of either kind; plain ones have PLAIN added to their widths."""
     data, base = buffers(batch.column(1))
     at = 0
     while at < batch.num_rows:
         to = max(at + 1, int(np.searchsorted(base, base[at] + CHUNK_BYTES, side="right")) - 1)
         part = base[at : to + 1]
-        yield batch.slice(at, to - at), canonical(data[part[0] : part[-1]], part - part[0])
+        typed, plain = canonical(data[part[0] : part[-1]], part - part[0])
+        yield batch.slice(at, to - at), 0, typed
+        yield batch.slice(at, to - at), PLAIN, plain
         at = to
 
 
 def _item_windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part, found in _texts(batch):
+        for part, plain, found in _texts(batch):
             counts = np.diff(found.first)
             literal = np.concatenate([[0], np.cumsum(found.kind == 0)])
             for width in np.unique(np.minimum(counts[counts >= min(window, MIN_TOKENS)], window)):
@@ -166,21 +175,21 @@ def _item_windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa
                 at = np.flatnonzero(ok)
                 of = of[at]
                 total = np.bincount(of, minlength=part.num_rows)
-                arrays = [pa.array(hashes[at].view(np.int64)), pa.array(np.full(len(at), width, np.int32)), part.column(0).take(pa.array(of)), pa.array((at - found.first[of]).astype(np.int32)), pa.array(total[of].astype(np.int32)), _slots(found, at, int(width))]
+                arrays = [pa.array(hashes[at].view(np.int64)), pa.array(np.full(len(at), width + plain, np.int32)), part.column(0).take(pa.array(of)), pa.array((at - found.first[of]).astype(np.int32)), pa.array(total[of].astype(np.int32)), _slots(found, at, int(width))]
                 yield pa.RecordBatch.from_arrays(arrays, ["key", "width", "item_id", "item_at", "windows", "item_slots"])
 
 
 def _doc_windows(batches: Iterator[pa.RecordBatch], widths: list[int], members: _Members | None) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part, found in _texts(batch):
-            for width in widths:
+        for part, plain, found in _texts(batch):
+            for width in (w - plain for w in widths if (w >= PLAIN) == (plain > 0)):
                 hashes = window_hashes(found.token, width)
                 ok = window_ok(found.first, width)
                 at = np.flatnonzero(ok) if members is None else members.of(hashes)
                 at = at[ok[at]]
                 if len(at):
                     of = np.searchsorted(found.first, at, side="right") - 1
-                    arrays = [pa.array(hashes[at].view(np.int64)), pa.array(np.full(len(at), width, np.int32)), part.column(0).take(pa.array(of)), pa.array((at - found.first[of]).astype(np.int32)), _slots(found, at, width)]
+                    arrays = [pa.array(hashes[at].view(np.int64)), pa.array(np.full(len(at), width + plain, np.int32)), part.column(0).take(pa.array(of)), pa.array((at - found.first[of]).astype(np.int32)), _slots(found, at, width)]
                     yield pa.RecordBatch.from_arrays(arrays, ["key", "width", "doc_id", "doc_at", "doc_slots"])
 
 
@@ -263,7 +272,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text
         return _doc_windows(batches, widths, None if sent is None else _Members(sent.value.view(U64)))
 
     found = named(docs, id_col, text_col).mapInArrow(hits, "key bigint, width int, doc_id bigint, doc_at int, doc_slots binary")
-    both = found.join(index, ["key", "width"]).select("doc_id", "item_id", (F.col("doc_at") - F.col("item_at")).alias("diagonal"), "item_at", "windows", "item_slots", "doc_slots")
+    both = found.join(index, ["key", "width"]).select("doc_id", "item_id", ((F.col("doc_at") - F.col("item_at")).cast("bigint") * 2 + (F.col("width") >= PLAIN).cast("int")).alias("diagonal"), "item_at", "windows", "item_slots", "doc_slots")
     lines = both.repartition("doc_id").sortWithinPartitions("doc_id", "item_id", "diagonal", "item_at", "doc_slots")
     return lines.mapInArrow(lambda it: _verify(it, min_share, min_run), "doc_id bigint, item_id bigint, matched int, windows int, altered int")
 
