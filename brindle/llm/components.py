@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.runtime import materialise
+from brindle.llm.runtime import discard, materialise
 
 MAX_ROUNDS = 60
 
@@ -36,7 +36,8 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     now = materialise(edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a <> b").distinct())
     state = None
     for _ in range(MAX_ROUNDS):
-        now = materialise(_small_star(_large_star(now)))
+        last, now = now, materialise(_small_star(_large_star(now)))
+        discard(last)
         found = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if found == state:
             roots = now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()

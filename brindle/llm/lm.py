@@ -38,14 +38,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.runtime import materialise, named, prepare
+from brindle.llm.runtime import discard, materialise, named, prepare, release
 from brindle.llm.textkernel import RADIX, U64, chunks, mix
 
 FOLDS, ROUNDS = 4, 60
 BATCH_WORDS, BUCKET_ENTRIES, SPARE_BITS = 800_000, 1_000_000, 14
 BEGIN, BEGUN, END = U64(0x1B873593CC9E2D51), U64(0x2545F4914F6CDD1D), U64(0x27D4EB2F165667C5)
 NONE = 127  # the quarter power that stands for probability 0
-BODY = "batch bigint, fold int, docs binary, counts binary, vocab binary, ids binary"
+BODY = "batch bigint, fold int, tokens bigint, docs binary, counts binary, vocab binary, ids binary"
 
 
 def fold_of(ids: np.ndarray, folds: int) -> np.ndarray:
@@ -53,13 +53,15 @@ def fold_of(ids: np.ndarray, folds: int) -> np.ndarray:
 
 
 def _pack(values: np.ndarray, width: int) -> bytes:
-    """The low ``width`` bytes of integers, byte by byte, so that high bytes compress."""
-    return np.ascontiguousarray(values.astype(U64).view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+    """The low ``width`` bytes of integers, byte by byte so that high ones compress, behind their number."""
+    planes = np.ascontiguousarray(values.astype(U64).view(np.uint8).reshape(-1, 8)[:, :width].T)
+    return len(values).to_bytes(4, "little") + pa.compress(pa.py_buffer(planes), codec="zstd", asbytes=True)
 
 
 def _unpack(data: bytes, width: int) -> np.ndarray:
-    planes = np.frombuffer(data, dtype=np.uint8).reshape(width, -1)
-    out = np.zeros((planes.shape[1], 8), dtype=np.uint8)
+    n = int.from_bytes(data[:4], "little")
+    planes = np.frombuffer(pa.decompress(memoryview(data)[4:], decompressed_size=n * width, codec="zstd"), dtype=np.uint8).reshape(width, n)
+    out = np.zeros((n, 8), dtype=np.uint8)
     out[:, :width] = planes.T
     return out.view(U64).ravel()
 
@@ -73,8 +75,8 @@ def _encode(batches: Iterator[pa.RecordBatch], folds: int) -> Iterator[pa.Record
         docs, counts, hashed = (np.concatenate(x) for x in zip(*held[fold], strict=True))
         held[fold], sizes[fold] = [], 0
         vocab, ids = np.unique(hashed, return_inverse=True)
-        row = [[uuid.uuid4().int >> 65], [fold], [docs.tobytes()], [counts.astype(np.int32).tobytes()], [_pack(np.diff(vocab, prepend=U64(0)), 8)], [_pack(ids, 4)]]
-        kinds = [pa.int64(), pa.int32(), *[pa.binary()] * 4]
+        row = [[uuid.uuid4().int >> 65], [fold], [len(hashed) - 2 * len(docs)], [docs.tobytes()], [counts.astype(np.int32).tobytes()], [_pack(np.diff(vocab, prepend=U64(0)), 8)], [_pack(ids, 4)]]
+        kinds = [pa.int64(), pa.int32(), pa.int64(), *[pa.binary()] * 4]
         return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds, strict=True)], [x.split()[0] for x in BODY.split(", ")])
 
     for batch in batches:
@@ -126,7 +128,7 @@ def _ask(batches: Iterator[pa.RecordBatch], bits: int, buckets: int) -> Iterator
     """A batch's distinct n-grams and how often it has each, by bucket."""
     edges = (np.arange(1, buckets) * (2**bits / buckets)).astype(U64)
     for batch in batches:
-        for key, fold, _, counts, vocab, ids in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for key, fold, _, _, counts, vocab, ids in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             grams, n = np.unique(_Batch(counts, vocab, ids, bits).grams(), return_counts=True)
             cut = [0, *np.searchsorted(grams, edges).tolist(), len(grams)]
             rows = []
@@ -135,9 +137,9 @@ def _ask(batches: Iterator[pa.RecordBatch], bits: int, buckets: int) -> Iterator
                     steps = np.diff(grams[s:e], prepend=U64(0))
                     start, steps[0] = int(steps[0]), 0
                     width = 4 if int(steps.max()) < 2**32 else 8
-                    rows.append((b, key, fold, start, _pack(steps, width), _pack(n[s:e], 4), e - s))
-            kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["bucket", "batch", "fold", "start", "steps", "counts", "n"])
+                    rows.append((b, key, fold, start, width, _pack(steps, width), _pack(n[s:e], 4), e - s))
+            kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["bucket", "batch", "fold", "start", "width", "steps", "counts", "n"])
 
 
 def _answer(batches: Iterator[pa.RecordBatch], folds: int) -> Iterator[pa.RecordBatch]:
@@ -145,9 +147,9 @@ def _answer(batches: Iterator[pa.RecordBatch], folds: int) -> Iterator[pa.Record
     kinds = [pa.int64(), pa.int32(), pa.binary(), pa.int64()]
 
     def out(rows: list[tuple]) -> pa.RecordBatch:
-        size = [r[6] for r in rows]
-        grams = np.concatenate([U64(r[3]) + np.cumsum(_unpack(r[4], len(r[4]) // r[6]), dtype=U64) for r in rows])
-        counts = np.concatenate([_unpack(r[5], 4).astype(np.int64) for r in rows])
+        size = [r[7] for r in rows]
+        grams = np.concatenate([U64(r[3]) + np.cumsum(_unpack(r[5], r[4]), dtype=U64) for r in rows])
+        counts = np.concatenate([_unpack(r[6], 4).astype(np.int64) for r in rows])
         fold = np.repeat([r[2] for r in rows], size)
         order = np.argsort(grams, kind="stable")  # merges the sorted runs
         sorted_grams = grams[order]
@@ -214,7 +216,7 @@ def _cells(batches: Iterator[pa.RecordBatch], bits: int, totals: dict[int, int])
 
     body, replies = None, []
     for batch in batches:
-        for key, fold, docs, counts, vocab, ids, bucket, reply in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for key, fold, _, docs, counts, vocab, ids, bucket, reply in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if bucket < 0:
                 if body is not None:
                     yield out(body, replies)
@@ -279,19 +281,21 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", fo
     spark = docs.sparkSession
     prepare(spark)
     body = materialise(named(docs, id_col, text_col).mapInArrow(lambda it: _encode(it, folds), BODY))
-    sizes = body.select("fold", (F.octet_length("ids") / 4 - F.octet_length("docs") / 4).cast("bigint").alias("n")).groupBy("fold").agg(F.sum("n").alias("n")).collect()
+    sizes = body.select("fold", "tokens").withColumnRenamed("tokens", "n").groupBy("fold").agg(F.sum("n").alias("n")).collect()
     total = sum(r.n for r in sizes)
     others = {r.fold: total - r.n for r in sizes}  # tokens to predict outside the fold
     bits = min(62, math.ceil(math.log2(3 * max(total, 1) + 2)) + SPARE_BITS)
     buckets = max(1, math.ceil(1.6 * total / BUCKET_ENTRIES))
-    asked = body.mapInArrow(lambda it: _ask(it, bits, buckets), "bucket int, batch bigint, fold int, start bigint, steps binary, counts binary, n int")
+    asked = body.mapInArrow(lambda it: _ask(it, bits, buckets), "bucket int, batch bigint, fold int, start bigint, width int, steps binary, counts binary, n int")
     answers = materialise(asked.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lambda it: _answer(it, folds), "batch bigint, bucket int, reply binary, words bigint"))
     words = (answers.agg(F.sum("words")).first()[0] or 0) + 1
     none = F.lit(None)
     left = body.select("*", F.lit(-1).alias("bucket"), none.cast("binary").alias("reply"))
-    right = answers.select("batch", none.cast("int").alias("fold"), *[none.cast("binary").alias(c) for c in ("docs", "counts", "vocab", "ids")], "bucket", "reply")
+    right = answers.select("batch", none.cast("int").alias("fold"), none.cast("bigint").alias("tokens"), *[none.cast("binary").alias(c) for c in ("docs", "counts", "vocab", "ids")], "bucket", "reply")
     met = left.unionAll(right).repartition("batch").sortWithinPartitions("batch", "bucket")
+    release(spark)
     coded = materialise(met.mapInArrow(lambda it: _cells(it, bits, others), "doc_id bigint, cells binary"))
+    discard(body, answers)
     histogram = coded.select("cells").mapInArrow(_histogram, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     weights = learn(histogram.column("cell").to_numpy(), histogram.column("n").to_numpy(), words)
 

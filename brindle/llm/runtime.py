@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import io
 import tempfile
 import uuid
@@ -64,7 +65,28 @@ def materialise(df: DataFrame) -> DataFrame:
     """
     path = f"{shared_dir(df.sparkSession)}/brindle/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    written = df.sparkSession.read.schema(df.schema).parquet(path)
+    written._brindle_path = path
+    return written
+
+
+def discard(*written: DataFrame) -> None:
+    """Delete tables of :func:`materialise` that nothing reads any more.
+
+    What was made from them must have been written itself.  The driver's garbage
+    is collected too, so that Spark frees the shuffle files of finished jobs.
+    """
+    for df in written:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._brindle_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    release(written[0].sparkSession)
+
+
+def release(spark: SparkSession) -> None:
+    """Collect the driver's garbage: Spark then frees the shuffle files of finished jobs."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
