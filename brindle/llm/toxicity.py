@@ -24,6 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -69,18 +70,22 @@ class FactorizationMachine:
 def fit(ptr: np.ndarray, term: np.ndarray, y: np.ndarray, *, factors: int = 8, epochs: int = 12, rate: float = 0.3, l2: float = 1e-5, min_df: int = 5, min_z: float = 3.3, batch: int = 256, seed: int = 7, bits: int = HASH_BITS) -> FactorizationMachine:
     """Fit on texts whose distinct terms are ``term[ptr[d]:ptr[d + 1]]`` with labels ``y``."""
     n = len(y)
-    doc = np.repeat(np.arange(n), np.diff(ptr))
+    doc = np.repeat(np.arange(n, dtype=np.int32), np.diff(ptr))
     held = np.zeros(n, dtype=bool)
     if n >= 200:
         held[9::10] = True
     use = ~held
     base = float(np.clip(y[use].mean(), 1e-4, 1 - 1e-4)) if use.any() else 0.5
     bias = np.log(base / (1 - base))
-    inside = use[doc]
-    df = np.bincount(term[inside], minlength=1 << bits)
-    pos = np.bincount(term[inside], weights=y[doc[inside]], minlength=1 << bits)
+    df, pos = np.zeros(1 << bits, dtype=np.int32), np.zeros(1 << bits, dtype=np.float32)
+    for s in range(0, n, 1000):  # in parts: the sample's terms are the driver's largest array
+        part = slice(ptr[s], ptr[min(n, s + 1000)])
+        inside = use[doc[part]]
+        np.add.at(df, term[part][inside], 1)
+        np.add.at(pos, term[part][inside], y[doc[part][inside]])
     z = np.abs(pos - df * base) / np.sqrt(df * base * (1 - base) + 1e-9)
     terms = np.flatnonzero((df >= min_df) & (z >= min_z))
+    del df, pos, z
     rng = np.random.default_rng(seed)
     w = np.zeros(len(terms), dtype=np.float32)
     v = rng.normal(0, 0.01, (len(terms), factors)).astype(np.float32)
@@ -165,9 +170,10 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     if not len(y):
         none = np.zeros(0)
         return FactorizationMachine(none.astype(np.int64), none, none.reshape(0, 1), -30.0)
-    sets = [np.frombuffer(x.as_py(), dtype=np.int32) for x in found.column("terms")]
-    ptr = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
-    return fit(ptr, np.concatenate(sets).astype(np.int64), y, **options)
+    size = pc.binary_length(found.column("terms")).to_numpy() // 4
+    term = np.frombuffer(b"".join(x.as_py() for x in found.column("terms")), dtype=np.int32)
+    del found
+    return fit(np.concatenate([[0], np.cumsum(size)]), term, y, **options)
 
 
 def _score_batches(batches: Iterator[pa.RecordBatch], model: FactorizationMachine) -> Iterator[pa.RecordBatch]:
