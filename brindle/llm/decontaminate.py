@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from brindle.llm.anchors import binary, spread
 from brindle.llm.runtime import materialise, named, prepare, without
-from brindle.llm.textkernel import CHUNK_BYTES, U64, Words, buffers, mix, window_hashes, window_ok, words_of
+from brindle.llm.textkernel import CHUNK_BYTES, U64, Words, buffers, fold, mix, window_hashes, window_ok, words_of
 
 WINDOW, MIN_LITERALS, MIN_TOKENS = 10, 5, 6
 MIN_SHARE, MIN_RUN = 0.3, 20
@@ -44,12 +44,6 @@ tonne tonnes l ml litre litres liter liters gallon gallons pint pints cup cups s
 hours day days week weeks month months year years usd eur gbp dollar dollars cent cents euro euros percent pct degree degrees celsius
 fahrenheit kelvin mph kmh kph hz khz mhz ghz w kw watt watts v volt volts j joule joules n newton newtons pa bar kb mb gb tb byte bytes""".split()
 
-_FOLD = np.full(256, 32, dtype=np.uint8)
-_FOLD[128:] = np.arange(128, 256)
-for _c in range(48, 58):
-    _FOLD[_c] = _c
-for _c in range(97, 123):
-    _FOLD[_c] = _FOLD[_c - 32] = _c
 _STOP = np.zeros(256, dtype=bool)
 _STOP[[10, 33, 46, 58, 63]] = True
 PLAIN = 1000  # added to a width: windows whose names are left as words
@@ -96,9 +90,7 @@ class Template:
 
 def canonical(data: np.ndarray, base: np.ndarray) -> tuple[Template, Template]:
     """The templates of some texts: with names as slots, and with names as the words they are."""
-    folded = _FOLD[data]
-    accent = np.flatnonzero((data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)) + 1
-    folded[accent] += 32
+    folded = fold(data)
     words: Words = words_of(folded, base)
     if not len(words.start):
         none = np.zeros(0, dtype=U64)

@@ -9,7 +9,7 @@ A *word* is a maximal run of bytes other than the five ASCII white-space bytes
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -122,15 +122,16 @@ def words_of(data: np.ndarray, base: np.ndarray) -> Words:
     return Words(data, base, start, end, np.searchsorted(start, base))
 
 
-def chunks(batch: pa.RecordBatch, text: str, limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, Words]]:
-    """Slices of ``batch`` with at most ``limit`` bytes of text, or one row, each."""
+def chunks(batch: pa.RecordBatch, text: str, limit: int = CHUNK_BYTES, change: Callable[[np.ndarray], np.ndarray] | None = None) -> Iterator[tuple[pa.RecordBatch, Words]]:
+    """Slices of ``batch`` with at most ``limit`` bytes of text, or one row, each; ``change`` is done to the bytes first."""
     column = batch.column(batch.schema.get_field_index(text))
     data, base = buffers(column)
     at, n = 0, batch.num_rows
     while at < n:
         to = max(at + 1, int(np.searchsorted(base, base[at] + limit, side="right")) - 1)
         part = base[at : to + 1]
-        yield batch.slice(at, to - at), words_of(data[part[0] : part[-1]], part - part[0])
+        inside = data[part[0] : part[-1]]
+        yield batch.slice(at, to - at), words_of(inside if change is None else change(inside), part - part[0])
         at = to
 
 
@@ -143,6 +144,20 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
+def fold(data: np.ndarray) -> np.ndarray:
+    """Bytes with the case of A-Z and of two-byte Latin letters folded, and all but letters and digits as spaces."""
+    out = _FOLD[data]
+    accent = np.flatnonzero((data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)) + 1
+    out[accent] += 32
+    return out
+
+
+_FOLD = np.full(256, 32, dtype=np.uint8)
+_FOLD[128:] = np.arange(128, 256)
+_FOLD[48:58] = np.arange(48, 58)
+_FOLD[65:91] = _FOLD[97:123] = np.arange(97, 123)
+
+
 def window_hashes(words: np.ndarray, n: int) -> np.ndarray:
     """Hash of each run of ``n`` word hashes, at the run's first word.
 

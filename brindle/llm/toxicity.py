@@ -1,6 +1,6 @@
 """Toxicity: a factorization machine over hashed terms.
 
-A document is the set of its lower-cased words, each hashed to one of
+A document is the set of its words (runs of letters and digits, case folded), each hashed to one of
 ``2**hash_bits`` terms.  The model is
 
     logit = b + sum_i w_i + sum_{i<j} <v_i, v_j>
@@ -29,14 +29,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brindle.llm.runtime import named, prepare
-from brindle.llm.textkernel import chunks, lower_ascii
+from brindle.llm.textkernel import chunks, fold
 
 HASH_BITS = 22
 
 
 def _terms(words, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """The distinct terms of each text: (text, term), sorted."""
-    hashed = (words.hashes(lower_ascii(words.data)) >> np.uint64(64 - bits)).astype(np.int64)
+    hashed = (words.hashes() >> np.uint64(64 - bits)).astype(np.int64)
     key = np.unique((words.doc() << bits) | hashed)
     return key >> bits, key & ((1 << bits) - 1)
 
@@ -67,7 +67,7 @@ class FactorizationMachine:
         return out
 
 
-def fit(ptr: np.ndarray, term: np.ndarray, y: np.ndarray, *, factors: int = 8, epochs: int = 12, rate: float = 0.3, l2: float = 1e-5, min_df: int = 5, min_z: float = 3.3, batch: int = 256, seed: int = 7, bits: int = HASH_BITS) -> FactorizationMachine:
+def fit(ptr: np.ndarray, term: np.ndarray, y: np.ndarray, *, factors: int = 8, epochs: int = 12, min_steps: int = 400, rate: float = 0.3, l2: float = 1e-5, min_df: int = 5, min_z: float = 3.3, batch: int = 256, seed: int = 7, bits: int = HASH_BITS) -> FactorizationMachine:
     """Fit on texts whose distinct terms are ``term[ptr[d]:ptr[d + 1]]`` with labels ``y``."""
     n = len(y)
     doc = np.repeat(np.arange(n, dtype=np.int32), np.diff(ptr))
@@ -101,7 +101,7 @@ def fit(ptr: np.ndarray, term: np.ndarray, y: np.ndarray, *, factors: int = 8, e
     edge = np.searchsorted(doc, np.arange(n + 1))
     gw, gv, gb = np.full(w.shape, 1e-6, np.float32), np.full(v.shape, 1e-6, np.float32), 1e-6
     train = np.flatnonzero(use)
-    for _ in range(epochs):
+    for _ in range(max(epochs, -(-min_steps * batch // max(1, len(train))))):
         order = rng.permutation(train)
         for s in range(0, len(order), batch):
             rows = order[s : s + batch]
@@ -146,7 +146,7 @@ def _best_cut(scores: np.ndarray, y: np.ndarray) -> float:
 
 def _hash_batches(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part, words in chunks(batch, "text"):
+        for part, words in chunks(batch, "text", change=fold):
             doc, term = _terms(words, bits)
             edge = np.searchsorted(doc, np.arange(part.num_rows + 1))
             term = term.astype(np.int32)
@@ -178,7 +178,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
 
 def _score_batches(batches: Iterator[pa.RecordBatch], model: FactorizationMachine) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part, words in chunks(batch, "text"):
+        for part, words in chunks(batch, "text", change=fold):
             scores = model.logits(*_terms(words, model.bits), part.num_rows)
             p = 1 / (1 + np.exp(-np.clip(scores, -50, 50)))
             arrays = [*part.columns[:-1], pa.array(np.round(p, 6)), pa.array(scores > model.cut)]
@@ -204,7 +204,7 @@ def reject(docs: DataFrame, model: FactorizationMachine, *, text_col: str = "tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, words in chunks(batch, text_col):
+            for part, words in chunks(batch, text_col, change=fold):
                 scores = sent.value.logits(*_terms(words, sent.value.bits), part.num_rows)
                 yield part.filter(pa.array(scores <= sent.value.cut))
 
