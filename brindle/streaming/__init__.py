@@ -1,0 +1 @@
+"""The engine is batch only; this package keeps a place for streams."""
