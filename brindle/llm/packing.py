@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from brindle.llm.runtime import materialise, named, prepare
 from brindle.llm.textkernel import chunks
 
-CAPACITY, ROUNDS, RATE, STEP = 2048, 1500, 0.5, 1.0
+CAPACITY, ROUNDS, RATE, STEP, PARTS = 2048, 1500, 0.5, 1.0, 256
 
 
 def best_configuration(prices: np.ndarray, lengths: np.ndarray, capacity: int, most: np.ndarray | None = None) -> np.ndarray:
@@ -234,15 +234,19 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", cap
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(sequence), pa.array(offset)], ["doc_id", "piece", "start", "tokens", "sequence", "offset"])
 
     schema = "doc_id bigint, piece bigint, start bigint, tokens bigint, sequence bigint, offset bigint"
-    by_length = Window.partitionBy("tokens").orderBy("doc_id")
-    ends = lengths.select("doc_id", whole.alias("piece"), (whole * capacity).alias("start"), rest.alias("tokens")).where("tokens > 0")
-    placed = ends.withColumn("number", F.row_number().over(by_length).cast("bigint") - 1).mapInArrow(place, schema)
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(PARTS))
+    ends = lengths.select("doc_id", whole.alias("piece"), (whole * capacity).alias("start"), rest.alias("tokens"), part.alias("part")).where("tokens > 0")
+    # pieces are numbered within length and part, so that a frequent length is no single task's
+    ahead = F.sum("count").over(Window.partitionBy("tokens").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    firsts = ends.groupBy("tokens", "part").count().select("tokens", "part", F.coalesce(ahead, F.lit(0)).alias("first"))
+    nth = F.row_number().over(Window.partitionBy("tokens", "part").orderBy("doc_id")).cast("bigint") - 1
+    numbered = ends.withColumn("nth", nth).join(firsts, ["tokens", "part"])
+    placed = numbered.select("doc_id", "piece", "start", "tokens", (F.col("first") + F.col("nth")).alias("number")).mapInArrow(place, schema)
     if not full:
         return placed
     # full pieces need no plan: every document's get the next sequences, by a running sum over parts
     parts = lengths.where(whole > 0).select("doc_id", whole.alias("whole"))
-    part = F.pmod(F.xxhash64("doc_id"), F.lit(1024))
-    sums = {r.part: r.n for r in parts.groupBy(part.alias("part")).agg(F.sum("whole").alias("n")).collect()}  # at most 1024 rows
+    sums = {r.part: r.n for r in parts.groupBy(part.alias("part")).agg(F.sum("whole").alias("n")).collect()}  # at most PARTS rows
     starts = dict(zip(sorted(sums), np.cumsum([0, *(sums[k] for k in sorted(sums))])[:-1].tolist(), strict=True))
     first = F.create_map(*[x for k, v in starts.items() for x in (F.lit(int(k)).cast("bigint"), F.lit(int(v) + planned).cast("bigint"))])
     before = F.sum("whole").over(Window.partitionBy("part").orderBy("doc_id", "whole").rowsBetween(Window.unboundedPreceding, -1))
