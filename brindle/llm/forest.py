@@ -138,32 +138,55 @@ def _descend(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBat
 
 
 def _ascend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Queries against the entries that share their prefixes; only what beats the k-th so far."""
-    for table in _groups(batches):
-        depth = table.column(4).to_numpy()
-        ask, have = np.flatnonzero(depth >= 0), np.flatnonzero(depth < 0)
-        if not len(ask) or not len(have):
+    """Queries against the entries that share their prefixes; only what beats the k-th so far.
+
+    A page's entries come before its queries, which pass by in batches.
+    """
+    cell, entries = None, []
+    page: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
+    for batch in batches:
+        key, depth = batch.column(0).to_numpy(), batch.column(4).to_numpy()
+        if not len(key):
             continue
-        string, ids, x = table.column(3).to_numpy().view(U64), table.column(1).to_numpy(), _vectors(table.column(2))
-        kth = table.column(5).to_numpy()
-        have = have[np.argsort(string[have], kind="stable")]
-        ask = ask[np.lexsort((string[ask], depth[ask]))]
-        array, target = string[have], x[have]
-        for s in range(0, len(ask), 256):
-            q = ask[s : s + 256]
-            d = depth[q].astype(U64)
-            mask = np.where(d > 0, ~U64(0) << (U64(64) - np.maximum(d, U64(1))), U64(0))
-            lo = np.searchsorted(array, string[q] & mask, side="left")
-            hi = np.searchsorted(array, string[q] | ~mask, side="right")
-            for a in range(int(lo.min()), int(hi.max()), PAGE):
-                b = min(a + PAGE, int(hi.max()))
-                sims = x[q] @ target[a:b].T
-                rows, cols = np.nonzero(sims > kth[q][:, None])
-                inside = (cols + a >= lo[rows]) & (cols + a < hi[rows])
-                rows, cols = rows[inside], cols[inside]
-                who, other = ids[q[rows]], ids[have[cols + a]]
-                real = who != other
-                yield pa.RecordBatch.from_arrays([pa.array(who[real]), pa.array(other[real]), pa.array(sims[rows[real], cols[real]])], FOUND)
+        kind = depth >= 0
+        edge = [0, *(np.flatnonzero((key[1:] != key[:-1]) | (kind[1:] != kind[:-1])) + 1), len(key)]
+        for s, e in zip(edge[:-1], edge[1:], strict=True):
+            if key[s] != cell:
+                cell, entries, page = key[s], [], None
+            part = batch.slice(s, e - s)
+            if not kind[s]:
+                entries.append(part)
+                continue
+            if page is None:
+                if not entries:
+                    continue
+                table = pa.Table.from_batches(entries)
+                string = table.column(3).to_numpy().view(U64)
+                order = np.argsort(string, kind="stable")
+                page, entries = (string[order], table.column(1).to_numpy()[order], _vectors(table.column(2))[order]), []
+            yield from _search(part, *page)
+
+
+def _search(asks: pa.RecordBatch, array: np.ndarray, ids: np.ndarray, target: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """One batch of queries in one page: ``array`` are its sorted strings."""
+    string, depth, kth, who = asks.column(3).to_numpy().view(U64), asks.column(4).to_numpy(), asks.column(5).to_numpy(), asks.column(1).to_numpy()
+    x = _vectors(asks.column(2))
+    order = np.lexsort((string, depth))
+    for s in range(0, len(order), 256):
+        q = order[s : s + 256]
+        d = depth[q].astype(U64)
+        mask = np.where(d > 0, ~U64(0) << (U64(64) - np.maximum(d, U64(1))), U64(0))
+        lo = np.searchsorted(array, string[q] & mask, side="left")
+        hi = np.searchsorted(array, string[q] | ~mask, side="right")
+        for a in range(int(lo.min()), int(hi.max()), PAGE):
+            b = min(a + PAGE, int(hi.max()))
+            sims = x[q] @ target[a:b].T
+            rows, cols = np.nonzero(sims > kth[q][:, None])
+            inside = (cols + a >= lo[rows]) & (cols + a < hi[rows])
+            rows, cols = rows[inside], cols[inside]
+            mine, other = who[q[rows]], ids[cols + a]
+            real = mine != other
+            yield pa.RecordBatch.from_arrays([pa.array(mine[real]), pa.array(other[real]), pa.array(sims[rows[real], cols[real]])], FOUND)
 
 
 def _best(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
@@ -244,7 +267,7 @@ def neighbours(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str =
         asks = base.join(active, "vec_id").select("vec_id", "vec", "strings", "depth", "kth").mapInArrow(lambda it: _asks(it, trees, bits), "cell bigint, vec_id bigint, vec binary, string bigint, depth bigint, kth float")
         asks = asks.join(full, "cell", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("parts") - 1, F.lit(0))))).select((F.col("cell") + F.col("part").cast("bigint") * (1 << 32)).alias("cell"), "vec_id", "vec", "string", "depth", "kth")
         both = placed.select("*", F.lit(-1).cast("bigint").alias("depth"), F.lit(0.0).cast("float").alias("kth")).unionAll(asks)
-        found = both.repartition("cell").sortWithinPartitions("cell").mapInArrow(_ascend, "vec_id bigint, neighbour bigint, similarity float")
+        found = both.repartition("cell").sortWithinPartitions("cell", "depth").mapInArrow(_ascend, "vec_id bigint, neighbour bigint, similarity float")
         best = merge(found.unionAll(best.select("vec_id", "neighbour", "similarity")))
         state = now.select("vec_id", F.least("done", "depth").alias("done"))
     return best
