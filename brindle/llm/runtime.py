@@ -29,9 +29,12 @@ def _ship(spark: SparkSession) -> None:
     with zipfile.ZipFile(buffer, "w") as out:
         for source in sorted(package.rglob("*.py")):
             out.write(source, source.relative_to(package.parent))
-    archive = Path(tempfile.mkdtemp(prefix="brindle-")) / "brindle.zip"  # only the driver reads it: Spark serves it to the workers
-    archive.write_bytes(buffer.getvalue())
-    spark.sparkContext.addPyFile(str(archive))
+    path = f"{shared_dir(spark)}/brindle/code-{uuid.uuid4().hex}/brindle.zip"
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target)
+    stream.write(bytearray(buffer.getvalue()))
+    stream.close()
+    spark.sparkContext.addPyFile(path)
     _shipped.add(app)
 
 
