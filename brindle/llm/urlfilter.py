@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import re
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,7 +81,8 @@ def match(pages: DataFrame, rules: list[str] | None = None, *, id_col: str = "pa
     spark: SparkSession = pages.sparkSession
     parsed = [(i, *parse(r)) for i, r in enumerate(dict.fromkeys(RULES if rules is None else rules)) if r.strip("|*^@ ")]
     small = F.broadcast if len(parsed) <= MAX_SENT else (lambda df: df)
-    rule_rows = spark.createDataFrame(parsed, "rule int, action string, pattern string, tokens array<string>")
+    kinds = pa.schema([("rule", pa.int32()), ("action", pa.string()), ("pattern", pa.string()), ("tokens", pa.list_(pa.string()))])
+    rule_rows = spark.createDataFrame(pa.Table.from_pylist([dict(zip(kinds.names, x, strict=True)) for x in parsed], kinds))  # a local relation, without a job
     urls = pages.select(F.col(f"`{id_col}`").cast("bigint").alias("page_id"), F.col(f"`{url_col}`").cast("string").alias("url")).where("page_id is not null and url is not null")
     found_tokens = F.split(F.lower("url"), "[^a-z0-9]+")
     if any(not x[3] for x in parsed):  # the empty token stands for rules without one
