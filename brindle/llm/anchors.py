@@ -12,11 +12,12 @@ Positions are word numbers within a document.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -81,6 +82,72 @@ def spread(first: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.repeat(first - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum()))
 
 
+#: A row is a segment with its content, or, without content, a run that is known already.
+ROWS = "key bigint, doc_id bigint, start int, content binary, n int, ref_id bigint, ref_start int"
+COMBINE_BYTES = 24 << 20
+
+
+def combine(parts: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array]]) -> Iterator[pa.RecordBatch]:
+    """Segments ``(key, doc_id, start, n, content)`` as ``ROWS``, each content once for ``COMBINE_BYTES`` of them.
+
+    The first of equal segments is sent on; the others repeat it, and only that is
+    sent.  So a passage that millions of documents share is not as many rows of
+    content at the one place where they meet, but one for each stretch of input.
+    """
+    names = [x.split()[0] for x in ROWS.split(", ")]
+
+    def out(held: list[tuple]) -> pa.RecordBatch:
+        key, doc, start, n = (np.concatenate([h[i] for h in held]) for i in range(4))
+        content = pa.concat_arrays([h[4] for h in held])
+        code = content.dictionary_encode().indices.to_numpy()
+        order = np.lexsort((start, doc, code, key))
+        k, c, d, s = key[order], code[order], doc[order], start[order]
+        new = np.concatenate([[True], (k[1:] != k[:-1]) | (c[1:] != c[:-1])])
+        again = np.concatenate([[False], ~new[1:] & (d[1:] == d[:-1]) & (s[1:] == s[:-1])])  # a repeated row
+        lead = order[np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))]
+        copy = ~new & ~again & ~((d == doc[lead]) & (s == start[lead]))
+        first, rest, of = order[new], order[copy], lead[copy]
+        none = lambda kind: pa.nulls(len(first), kind)
+        segment_rows = [pa.array(key[first]), pa.array(doc[first]), pa.array(start[first]), content.take(pa.array(first)), none(pa.int32()), none(pa.int64()), none(pa.int32())]
+        run_rows = [pa.array(doc[rest]), pa.array(doc[rest]), pa.array(start[rest]), pa.nulls(len(rest), pa.binary()), pa.array(n[rest].astype(np.int32)), pa.array(doc[of]), pa.array(start[of])]
+        return pa.RecordBatch.from_arrays([pa.concat_arrays([a, b]) for a, b in zip(segment_rows, run_rows, strict=True)], names)
+
+    held, size = [], 0
+    for part in parts:
+        held.append(part)
+        size += part[4].nbytes
+        if size >= COMBINE_BYTES:
+            yield out(held)
+            held, size = [], 0
+    if held:
+        yield out(held)
+
+
+def meet(rows: DataFrame, solve: Callable[[pa.Table], pa.RecordBatch], span: int) -> DataFrame:
+    """Bring segments together by anchor, ``solve`` whole lists of them, and join all runs to spans."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: list[pa.RecordBatch] = []
+
+        def contents() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                done = batch.column(3).is_null()
+                if done.true_count:
+                    part = batch.filter(done)
+                    known.append(pa.RecordBatch.from_arrays([part.column(i) for i in (1, 2, 4, 5, 6)], ["doc_id", "start", "n", "ref_id", "ref_start"]))
+                    batch = batch.filter(pc.invert(done))
+                yield batch.select([0, 1, 2, 3])
+
+        for table in lists(contents()):
+            yield solve(table)
+            yield from known
+            known.clear()
+        yield from known
+
+    sorted_rows = rows.repartition("key").sortWithinPartitions("key", "doc_id", "start")
+    return join_runs(sorted_rows.mapInArrow(run, RUNS), span)
+
+
 def lists(batches: Iterator[pa.RecordBatch], rows: int = 40_000) -> Iterator[pa.Table]:
     """Whole lists, of two rows or more, out of batches sorted by their first column."""
     held: list[pa.Table] = []

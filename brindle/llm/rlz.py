@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from brindle.llm.anchors import RUNS, SPAN, binary, flat, join_runs, lists, runs, segments, spread
+from brindle.llm.anchors import ROWS, SPAN, binary, combine, flat, meet, runs, segments, spread
 from brindle.llm.runtime import named, prepare
 from brindle.llm.textkernel import chunks, window_hashes
 
@@ -35,8 +35,8 @@ from brindle.llm.textkernel import chunks, window_hashes
 KEEP = 6
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[pa.RecordBatch]:
-    """One row a segment: anchor hash, document, first block, and its blocks' hashes."""
+def _blocks(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[tuple]:
+    """Segments, with their blocks' hashes as content."""
     for batch in batches:
         for part, words in chunks(batch, "text"):
             hashed = words.hashes()
@@ -46,9 +46,8 @@ def _blocks(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[pa.RecordB
             doc = np.searchsorted(words.first, found.at, side="right") - 1
             values = window_hashes(hashed, span)[spread(found.at, found.n)]
             data = values.view(np.uint8).reshape(-1, 8)[:, 8 - KEEP :].ravel()
-            ids = part.column(0).to_numpy()[doc]
             start = (found.at - words.first[doc]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(found.key), pa.array(ids), pa.array(start), binary(data, found.n * KEEP)], ["key", "doc_id", "start", "blocks"])
+            yield found.key, part.column(0).to_numpy()[doc], start, found.n, binary(data, found.n * KEEP)
 
 
 def factor(table: pa.Table) -> pa.RecordBatch:
@@ -83,7 +82,5 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     that repeat a whole row (same id, same text) count once.
     """
     prepare(docs.sparkSession)
-    rows = named(docs, id_col, text_col).mapInArrow(lambda it: _blocks(it, min_words), "key bigint, doc_id bigint, start int, blocks binary")
-    sorted_rows = rows.repartition("key").sortWithinPartitions("key", "doc_id", "start")
-    found = sorted_rows.mapInArrow(lambda it: (factor(x) for x in lists(it)), RUNS)
-    return join_runs(found, min_words)
+    rows = named(docs, id_col, text_col).mapInArrow(lambda it: combine(_blocks(it, min_words)), ROWS)
+    return meet(rows, factor, min_words)

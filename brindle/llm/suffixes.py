@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.anchors import RUNS, SPAN, binary, covered, flat, join_runs, lists, runs, segments, spread
+from brindle.llm.anchors import ROWS, SPAN, binary, combine, covered, flat, meet, runs, segments, spread
 from brindle.llm.runtime import fresh, materialise, named, prepare
 from brindle.llm.textkernel import chunks, words_of, buffers
 
@@ -42,8 +42,8 @@ SHALLOW = 6
 CODE = 3  # bytes of a word's code
 
 
-def _segments(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[pa.RecordBatch]:
-    """One row a segment: anchor hash, document, first suffix, number of suffixes, words."""
+def _segments(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[tuple]:
+    """Segments, with their words' codes as content."""
     for batch in batches:
         for part, words in chunks(batch, "text"):
             hashed = words.hashes()
@@ -53,9 +53,8 @@ def _segments(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[pa.Recor
             doc = np.searchsorted(words.first, found.at, side="right") - 1
             size = found.n + span - 1
             data = hashed.view(np.uint8).reshape(-1, 8)[:, 8 - CODE :][spread(found.at, size)].ravel()
-            ids = part.column(0).to_numpy()[doc]
             start = (found.at - words.first[doc]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(found.key), pa.array(ids), pa.array(start), binary(data, size * CODE)], ["key", "doc_id", "start", "words"])
+            yield found.key, part.column(0).to_numpy()[doc], start, found.n, binary(data, size * CODE)
 
 
 def shallow(group: np.ndarray, at: np.ndarray, codes: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -213,10 +212,8 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     that repeat a whole row (same id, same text) count once.
     """
     prepare(docs.sparkSession)
-    rows = named(docs, id_col, text_col).mapInArrow(lambda it: _segments(it, min_words), "key bigint, doc_id bigint, start int, words binary")
-    sorted_rows = rows.repartition("key").sortWithinPartitions("key", "doc_id", "start")
-    found = sorted_rows.mapInArrow(lambda it: (sort_piece(x, min_words) for x in lists(it)), RUNS)
-    return join_runs(found, min_words)
+    rows = named(docs, id_col, text_col).mapInArrow(lambda it: combine(_segments(it, min_words)), ROWS)
+    return meet(rows, lambda table: sort_piece(table, min_words), min_words)
 
 
 def _cut(batches: Iterator[pa.RecordBatch], text: str, count: str | None) -> Iterator[pa.RecordBatch]:

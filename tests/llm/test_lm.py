@@ -37,7 +37,6 @@ def same(got, want):
 
 def test_whole_table(spark, sf, monkeypatch):
     monkeypatch.setattr(lm, "SPARE_BITS", 36)
-    monkeypatch.setattr(lm, "BATCH_WORDS", 5000)
     monkeypatch.setattr(lm, "BUCKET_ENTRIES", 20_000)
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     want, weights = brute([(r.doc_id, r.text) for r in docs.collect()])

@@ -4,9 +4,11 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
-from brindle.llm import rlz, suffixes
+from brindle.llm import anchors, rlz, suffixes
 from tests.llm.common import awkward, documents, empty, prose, words
 
 
@@ -79,6 +81,24 @@ def test_awkward_rows(spark, module):
     assert module.repeats(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("size", [1, 2000, 1 << 30])
+def test_combining_before_the_shuffle_changes_nothing(monkeypatch, size):
+    monkeypatch.setattr(anchors, "COMBINE_BYTES", size)
+    rows = corpus(3) + [(200 + i, corpus(3)[7][1]) for i in range(5)]
+    batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int64()), pa.array([t for _, t in rows])], ["doc_id", "text"])
+    parts = [batch.slice(i, 6) for i in range(0, len(rows), 6)]
+    for make, solve in ((rlz._blocks, rlz.factor), (suffixes._segments, lambda t: suffixes.sort_piece(t, 20))):
+        table = pa.Table.from_batches(list(anchors.combine(make(iter(parts), 20))))
+        found = [table.filter(pc.is_null(table.column("content"))).select(["doc_id", "start", "n", "ref_id", "ref_start"]).to_pylist()]
+        left = table.filter(pc.is_valid(table.column("content"))).sort_by([("key", "ascending"), ("doc_id", "ascending"), ("start", "ascending")])
+        for whole in anchors.lists(iter(left.select(["key", "doc_id", "start", "content"]).combine_chunks().to_batches())):
+            found.append(solve(whole).to_pylist())
+        got = defaultdict(set)
+        for r in (r for part in found for r in part):
+            got[r["doc_id"]].update(range(r["start"], r["start"] + r["n"] + 19))
+        assert dict(got) == brute(rows, 20)
+
+
 def test_blind_trie_sorts_with_common_prefixes():
     rng = np.random.default_rng(4)
     rows = rng.integers(0, 3, (200, 12)).astype(np.uint32)
