@@ -12,7 +12,19 @@ def _all_or_null(name: str):
     return build
 
 
+def _of_numbers(name: str):
+    """An aggregate that refuses strings, which Spark would cast; the test of the type is folded away."""
+
+    def build(x: str) -> str:
+        distinct, x = ("distinct ", x[9:]) if x.lower().startswith("distinct ") else ("", x)
+        return f"{name}({distinct}if(typeof({x}) = 'string', raise_error('{name} of a STRING'), {x}))"
+
+    return build
+
+
 TEMPLATES = {
+    "sum": _of_numbers("sum"),
+    "avg": _of_numbers("avg"),
     "is_nan": lambda x: f"(case when ({x}) is null then null else isnan({x}) end)",
     "is_inf": lambda x: f"(abs({x}) = cast('Infinity' as double))",
     "coalesce": lambda *a: f"coalesce({', '.join(a)})",

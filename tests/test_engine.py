@@ -80,6 +80,14 @@ def test_refused(engine, text):
         engine.sql(text)
 
 
+@pytest.mark.parametrize("text", ["select sum(s) from t", "select avg(distinct s) from t", "select sum(i > 1) from t", "select sum(d) from t"])
+def test_sums_are_of_numbers(engine, text):
+    engine.sql("create table t(i integer, s varchar, d date); insert into t values (1, '2', date '2020-01-01')")
+    assert rows(engine.sql("select sum(i), avg(distinct i), sum(distinct i + 0.5D) from t")) == [(1, 1.0, 1.5)]
+    with pytest.raises(Exception):
+        engine.sql(text).collect()
+
+
 def test_parameters_explain_assert(engine):
     engine.sql("create table t(i integer, s varchar); insert into t values (@a, @b), (2, 'q')", {"a": 1, "b": "it's"})
     assert rows(engine.sql("select s from t where i = @a", {"a": 1})) == [("it's",)]
