@@ -84,7 +84,7 @@ def spread(first: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 #: A row is a segment with its content, or, without content, a run that is known already.
 ROWS = "key bigint, doc_id bigint, start int, content binary, n int, ref_id bigint, ref_start int"
-COMBINE_BYTES = 24 << 20
+COMBINE_BYTES = 6 << 20
 
 
 def combine(parts: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array]]) -> Iterator[pa.RecordBatch]:
@@ -148,7 +148,7 @@ def meet(rows: DataFrame, solve: Callable[[pa.Table], pa.RecordBatch], span: int
     return join_runs(sorted_rows.mapInArrow(run, RUNS), span)
 
 
-def lists(batches: Iterator[pa.RecordBatch], rows: int = 40_000) -> Iterator[pa.Table]:
+def lists(batches: Iterator[pa.RecordBatch], rows: int = 20_000) -> Iterator[pa.Table]:
     """Whole lists, of two rows or more, out of batches sorted by their first column."""
     held: list[pa.Table] = []
     have = 0

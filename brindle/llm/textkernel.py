@@ -18,7 +18,7 @@ import pyarrow as pa
 U64 = np.uint64
 RADIX = U64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
 RADIX_INV = U64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 12, 13, 32]] = True
