@@ -13,10 +13,16 @@ value stands for one document value and the other way round.  So an item asked
 again with other numbers or names is found, and a text that merely has the same
 shape with its slots crossed is not.
 
-An item leaks into a document if consistent windows make up ``min_share`` of the
-item's windows, or there are ``min_run`` of them.  Items shorter than a window
-are one window of their own length; items of fewer than ``MIN_TOKENS`` tokens
-can't be told from ordinary text and match nothing.
+A window of a template has ``MIN_LITERALS`` literals at least, and a template
+``MIN_TOKENS`` tokens; fewer can't be told from ordinary text.  Items that this
+or runs of placeholders leave with less than all their windows (questions of
+numbers, very short ones) have their words as a further, *exact* template: those
+are found verbatim, apart from case and punctuation.
+
+An item leaks into a document if consistent windows of one template make up
+``min_share`` of the item's windows there, or there are ``min_run`` of them.  Items
+shorter than a window are one window of their own length, so an item of one word
+leaks into every document with that word; only items without words match nothing.
 """
 
 from __future__ import annotations
@@ -46,7 +52,9 @@ fahrenheit kelvin mph kmh kph hz khz mhz ghz w kw watt watts v volt volts j joul
 
 _STOP = np.zeros(256, dtype=bool)
 _STOP[[10, 33, 46, 58, 63]] = True
-PLAIN = 1000  # added to a width: windows whose names are left as words
+#: The templates: typed slots, names left as words, and every word as it is.
+TYPED, PLAIN, EXACT = range(3)
+TEMPLATE_BITS = 20  # the template of a window is kept above its width
 SLOT = np.dtype([("at", "u1"), ("value", "<u8")])
 _NUMBER, _NAME, _UNIT = 1, 2, 3
 
@@ -88,13 +96,13 @@ class Template:
     first: np.ndarray
 
 
-def canonical(data: np.ndarray, base: np.ndarray) -> tuple[Template, Template]:
-    """The templates of some texts: with names as slots, and with names as the words they are."""
+def canonical(data: np.ndarray, base: np.ndarray, templates: list[int]) -> list[Template]:
+    """The listed templates of some texts."""
     folded = fold(data)
     words: Words = words_of(folded, base)
     if not len(words.start):
         none = np.zeros(0, dtype=U64)
-        return (Template(none, np.zeros(0, np.int8), none, words.first),) * 2
+        return [Template(none, np.zeros(0, np.int8), none, words.first)] * len(templates)
     hashed = words.hashes()
     lead = data[words.start]
     kind = np.zeros(len(hashed), dtype=np.int8)
@@ -113,8 +121,8 @@ def canonical(data: np.ndarray, base: np.ndarray) -> tuple[Template, Template]:
     capital = changed[np.minimum(words.start + wide, len(data) - 1)] & inside & ~changed[second] & ~accented
     kind[_units.of(hashed)] = _UNIT
     kind[(lead >= 48) & (lead <= 57)] = _NUMBER
-    named_kind = np.where(capital & ~after_stop & (kind == 0), _NAME, kind)
-    return _template(hashed, named_kind, words.first, head), _template(hashed, kind, words.first, head)
+    kinds = {TYPED: np.where(capital & ~after_stop & (kind == 0), _NAME, kind), PLAIN: kind, EXACT: np.zeros_like(kind)}
+    return [_template(hashed, kinds[t], words.first, head) for t in templates]
 
 
 def _template(hashed: np.ndarray, kind: np.ndarray, first: np.ndarray, head: np.ndarray) -> Template:
@@ -141,47 +149,62 @@ def _slots(found: Template, at: np.ndarray, width: int) -> pa.Array:
     return binary(packed.view(np.uint8), n * SLOT.itemsize)
 
 
-def _texts(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, int, Template]]:
-    """Parts of the batch with their templates of either kind; plain ones have PLAIN added to their widths."""
+def _texts(batch: pa.RecordBatch, templates: list[int]) -> Iterator[tuple[pa.RecordBatch, list[Template]]]:
+    """Parts of the batch with the listed templates of their texts."""
     data, base = buffers(batch.column(1))
     at = 0
     while at < batch.num_rows:
         to = max(at + 1, int(np.searchsorted(base, base[at] + CHUNK_BYTES, side="right")) - 1)
         part = base[at : to + 1]
-        typed, plain = canonical(data[part[0] : part[-1]], part - part[0])
-        yield batch.slice(at, to - at), 0, typed
-        yield batch.slice(at, to - at), PLAIN, plain
+        yield batch.slice(at, to - at), canonical(data[part[0] : part[-1]], part - part[0], templates)
         at = to
 
 
 def _item_windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+    templates = [TYPED, PLAIN, EXACT]
     for batch in batches:
-        for part, plain, found in _texts(batch):
-            counts = np.diff(found.first)
-            literal = np.concatenate([[0], np.cumsum(found.kind == 0)])
-            for width in np.unique(np.minimum(counts[counts >= min(window, MIN_TOKENS)], window)):
-                hashes = window_hashes(found.token, int(width))
-                of = np.searchsorted(found.first, np.arange(len(hashes)), side="right") - 1
-                ok = window_ok(found.first, int(width)) & ((counts[of] == width) | (width == window))
-                ok &= literal[np.arange(len(hashes)) + width] - literal[: len(hashes)] >= min(MIN_LITERALS, width)
-                at = np.flatnonzero(ok)
-                of = of[at]
-                total = np.bincount(of, minlength=part.num_rows)
-                arrays = [pa.array(hashes[at].view(np.int64)), pa.array(np.full(len(at), width + plain, np.int32)), part.column(0).take(pa.array(of)), pa.array((at - found.first[of]).astype(np.int32)), pa.array(total[of].astype(np.int32)), _slots(found, at, int(width))]
-                yield pa.RecordBatch.from_arrays(arrays, ["key", "width", "item_id", "item_at", "windows", "item_slots"])
-
-
-def _doc_windows(batches: Iterator[pa.RecordBatch], widths: list[int], members: _Members | None) -> Iterator[pa.RecordBatch]:
+        for part, all_found in _texts(batch, templates):
+            whole = np.zeros(part.num_rows, dtype=bool)  # all windows of words are in the plain template
+            for template, found in zip(templates, all_found, strict=True):
+                counts = np.diff(found.first)
+                literal = np.concatenate([[0], np.cumsum(found.kind == 0)])
+                if template == EXACT:
+                    listed = (counts > 0) & ~whole
+                else:
+                    listed = counts >= min(window, MIN_TOKENS)
+                for width in np.unique(np.minimum(counts[listed], window)):
+                    hashes = window_hashes(found.token, int(width))
+                    of = np.searchsorted(found.first, np.arange(len(hashes)), side="right") - 1
+                    ok = window_ok(found.first, int(width)) & listed[of] & ((counts[of] == width) | (width == window))
+                    if template != EXACT:
+                        fits = np.bincount(of[ok], minlength=part.num_rows)
+                        ok &= literal[np.arange(len(hashes)) + width] - literal[: len(hashes)] >= min(MIN_LITERALS, width)
+                    at = np.flatnonzero(ok)
+                    of = of[at]
+                    total = np.bincount(of, minlength=part.num_rows)
+                    if template == PLAIN:
+                        whole |= (total > 0) & (total == fits) & (counts == np.diff(all_found[-1].first))
+                    arrays = [pa.array(hashes[at].view(np.int64)), pa.array(np.full(len(at), _code(template, int(width)), np.int32)), part.column(0).take(pa.array(of)), pa.array((at - found.first[of]).astype(np.int32)), pa.array(total[of].astype(np.int32)), _slots(found, at, int(width))]
+                    yield pa.RecordBatch.from_arrays(arrays, ["key", "width", "item_id", "item_at", "windows", "item_slots"])
+
+
+def _code(template: int, width: int) -> int:
+    return template << TEMPLATE_BITS | width
+
+
+def _doc_windows(batches: Iterator[pa.RecordBatch], codes: list[int], members: _Members | None) -> Iterator[pa.RecordBatch]:
+    templates = sorted({c >> TEMPLATE_BITS for c in codes})
     for batch in batches:
-        for part, plain, found in _texts(batch):
-            for width in (w - plain for w in widths if (w >= PLAIN) == (plain > 0)):
+        for part, all_found in _texts(batch, templates):
+            for code in codes:
+                found, width = all_found[templates.index(code >> TEMPLATE_BITS)], code & ((1 << TEMPLATE_BITS) - 1)
                 hashes = window_hashes(found.token, width)
                 ok = window_ok(found.first, width)
                 at = np.flatnonzero(ok) if members is None else members.of(hashes)
                 at = at[ok[at]]
                 if len(at):
                     of = np.searchsorted(found.first, at, side="right") - 1
-                    arrays = [pa.array(hashes[at].view(np.int64)), pa.array(np.full(len(at), width + plain, np.int32)), part.column(0).take(pa.array(of)), pa.array((at - found.first[of]).astype(np.int32)), _slots(found, at, width)]
+                    arrays = [pa.array(hashes[at].view(np.int64)), pa.array(np.full(len(at), code, np.int32)), part.column(0).take(pa.array(of)), pa.array((at - found.first[of]).astype(np.int32)), _slots(found, at, width)]
                     yield pa.RecordBatch.from_arrays(arrays, ["key", "width", "doc_id", "doc_at", "doc_slots"])
 
 
@@ -192,16 +215,17 @@ def _verify(batches: Iterator[pa.RecordBatch], min_share: float, min_run: int) -
     altered: set[tuple[int, int]] = set()
     there: dict[int, int] = {}
     back: dict[int, int] = {}
-    best = (0, 0, 0)
+    best = (False, 0, 0, 0)
     rows: list[tuple[int, int, int, int, int]] = []
 
     def end_line() -> None:
         nonlocal best
-        best = max(best, (len(kept), -len(altered), total))
+        enough = len(kept) > 0 and (len(kept) >= min_share * total or len(kept) >= min_run)
+        best = max(best, (enough, len(kept), -len(altered), total))
 
     def end_group() -> None:
-        n, changed, of = best
-        if n and (n >= min_share * of or n >= min_run):
+        enough, n, changed, of = best
+        if enough:
             rows.append((*group, n, of, -changed))
 
     total = 0
@@ -214,7 +238,7 @@ def _verify(batches: Iterator[pa.RecordBatch], min_share: float, min_run: int) -
                 if (doc, item) != group:
                     if group is not None:
                         end_group()
-                    group, best = (doc, item), (0, 0, 0)
+                    group, best = (doc, item), (False, 0, 0, 0)
                 line, kept, altered, there, back = (doc, item, diagonal), set(), set(), {}, {}
             total = windows
             if at in kept:
@@ -245,15 +269,15 @@ def _rows(rows: list[tuple[int, int, int, int, int]]) -> pa.RecordBatch:
 def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, min_share: float = MIN_SHARE, min_run: int = MIN_RUN) -> DataFrame:
     """``(doc_id, item_id, matched, windows, altered)``: the items that leak into each document.
 
-    ``matched`` of the item's ``windows`` were found, consistently, on the best
-    diagonal; ``altered`` slots had other values.  Rows without an id are left
+    ``matched`` of the item's ``windows`` in one template were found, consistently,
+    on the best diagonal; ``altered`` slots had other values.  Rows without an id are left
     out; null and empty texts match nothing; rows that share an id count as one
     document (or item), so a repeated row changes nothing.
     """
     prepare(docs.sparkSession)
     items = named(benchmark, item_col, item_text_col)
     index = materialise(items.mapInArrow(lambda it: _item_windows(it, window), "key bigint, width int, item_id bigint, item_at int, windows int, item_slots binary").distinct())
-    widths = sorted(r.width for r in index.select("width").distinct().collect())  # at most as many as a window has tokens
+    codes = sorted(r.width for r in index.select("width").distinct().collect())  # at most as many for a template as a window has tokens
     number = index.select("key").distinct().count()
     sent = None
     if number <= MAX_SENT:
@@ -261,10 +285,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text
         sent = docs.sparkSession.sparkContext.broadcast(keys)
 
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _doc_windows(batches, widths, None if sent is None else _Members(sent.value.view(U64)))
+        return _doc_windows(batches, codes, None if sent is None else _Members(sent.value.view(U64)))
 
     found = named(docs, id_col, text_col).mapInArrow(hits, "key bigint, width int, doc_id bigint, doc_at int, doc_slots binary")
-    both = found.join(index, ["key", "width"]).select("doc_id", "item_id", ((F.col("doc_at") - F.col("item_at")).cast("bigint") * 2 + (F.col("width") >= PLAIN).cast("int")).alias("diagonal"), "item_at", "windows", "item_slots", "doc_slots")
+    both = found.join(index, ["key", "width"]).select("doc_id", "item_id", ((F.col("doc_at") - F.col("item_at")).cast("bigint") * 4 + F.shiftright("width", TEMPLATE_BITS)).alias("diagonal"), "item_at", "windows", "item_slots", "doc_slots")
     lines = both.repartition("doc_id").sortWithinPartitions("doc_id", "item_id", "diagonal", "item_at", "doc_slots")
     return lines.mapInArrow(lambda it: _verify(it, min_share, min_run), "doc_id bigint, item_id bigint, matched int, windows int, altered int")
 

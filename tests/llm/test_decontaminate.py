@@ -40,6 +40,20 @@ def test_short_items_and_excerpts(spark):
     assert set(got) == {(0, 0), (2, 1)}
 
 
+def test_items_of_numbers_and_very_short_ones(spark):
+    items = ["What is 12 times 7 plus 5?", "What is 345 times 27?", "Compute 1 + 2 + 3 + 4 km, 5 - 6 Paris.", "two words", "..."]
+    texts = [f"before it. {i} And after" for i in items] + ["what is 12 TIMES 7, plus 5", "What is 13 times 7 plus 5? What is 345 times 28? Compute 1 + 2 + 3 + 4 km, 5 - 7 Paris. two other words"]
+    assert set(found(spark, texts, *items)) == {(0, 0), (1, 1), (2, 2), (3, 3), (5, 0)}
+
+
+def test_the_numbers_of_a_long_item(spark):
+    """Of the words only the numbers are copied; a template without literals can't tell them."""
+    numbers = " ".join(str(i * i + 7) for i in range(40))
+    item = f"Add all of these numbers and say what their sum would be: {numbers}"
+    got = found(spark, [numbers, " ".join(str(i) for i in range(300))], item)
+    assert set(got) == {(0, 0)}
+
+
 def test_whole_table_against_brute_force(spark):
     sf = "/root/testdata/sf0.01"
     docs, items = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
