@@ -4,7 +4,9 @@ A text becomes a *template*: its tokens (runs of letters and digits, case
 folded) with numbers, names and units replaced by typed placeholders; a run of
 placeholders of one type is one slot.  A name is a token with a capital and then a
 small letter that doesn't begin a sentence; a number begins with a digit; units are a fixed list.  As
-capitals get lost, a second template leaves names as the words they are.
+capitals get lost, a second template leaves names as the words they are.  As names
+begin sentences and lines too, in a third every token with such a capital is a name,
+wherever it stands; so lines may be broken in other places.
 
 Windows of ``window`` template tokens of every benchmark item are hash-joined
 with those of every document.  Hits of one document and item on one diagonal
@@ -16,7 +18,7 @@ shape with its slots crossed is not.
 A window of a template has ``MIN_LITERALS`` literals at least, and a template
 ``MIN_TOKENS`` tokens; fewer can't be told from ordinary text.  Items that this
 or runs of placeholders leave with less than all their windows (questions of
-numbers, very short ones) have their words as a further, *exact* template: those
+numbers, very short ones) have their words as a fourth, *exact* template: those
 are found verbatim, apart from case and punctuation.
 
 An item leaks into a document if consistent windows of one template make up
@@ -52,8 +54,8 @@ fahrenheit kelvin mph kmh kph hz khz mhz ghz w kw watt watts v volt volts j joul
 
 _STOP = np.zeros(256, dtype=bool)
 _STOP[[10, 33, 46, 58, 63]] = True
-#: The templates: typed slots, names left as words, and every word as it is.
-TYPED, PLAIN, EXACT = range(3)
+#: The templates: typed slots, names left as words, all words with a capital as names, and every word as it is.
+TYPED, PLAIN, CAPITAL, EXACT = range(4)
 TEMPLATE_BITS = 20  # the template of a window is kept above its width
 SLOT = np.dtype([("at", "u1"), ("value", "<u8")])
 _NUMBER, _NAME, _UNIT = 1, 2, 3
@@ -121,7 +123,7 @@ def canonical(data: np.ndarray, base: np.ndarray, templates: list[int]) -> list[
     capital = changed[np.minimum(words.start + wide, len(data) - 1)] & inside & ~changed[second] & ~accented
     kind[_units.of(hashed)] = _UNIT
     kind[(lead >= 48) & (lead <= 57)] = _NUMBER
-    kinds = {TYPED: np.where(capital & ~after_stop & (kind == 0), _NAME, kind), PLAIN: kind, EXACT: np.zeros_like(kind)}
+    kinds = {TYPED: np.where(capital & ~after_stop & (kind == 0), _NAME, kind), PLAIN: kind, CAPITAL: np.where(capital & (kind == 0), _NAME, kind), EXACT: np.zeros_like(kind)}
     return [_template(hashed, kinds[t], words.first, head) for t in templates]
 
 
@@ -161,7 +163,7 @@ def _texts(batch: pa.RecordBatch, templates: list[int]) -> Iterator[tuple[pa.Rec
 
 
 def _item_windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    templates = [TYPED, PLAIN, EXACT]
+    templates = [TYPED, PLAIN, CAPITAL, EXACT]
     for batch in batches:
         for part, all_found in _texts(batch, templates):
             whole = np.zeros(part.num_rows, dtype=bool)  # all windows of words are in the plain template

@@ -54,6 +54,24 @@ def test_the_numbers_of_a_long_item(spark):
     assert set(got) == {(0, 0)}
 
 
+def test_changed_names_at_the_beginning_of_sentences_and_lines(spark):
+    item = "A farmer has 12 cows. Tom buys 3 more cows. How many cows are there now?"
+    long = "Tom has 5 red apples in a bag. Tom gives 2 of them to his friend. Tom then finds 4 more apples. Tom eats one of those. Tom asks how many are left."
+    inside = "At the market Tom meets Ann, then Tom pays Ann for eggs, and Ann thanks Tom with bread"
+    wrapped = "At the market\nMary meets\nBob, then\nMary pays\nBob for eggs, and\nBob thanks\nMary with bread"
+    texts = [
+        item.replace("Tom", "Mary"),
+        item.replace("Tom", "Mary").replace("12", "15").replace(". ", ".\n"),
+        long.replace("Tom", "Mary"),
+        wrapped,
+        wrapped.replace("Mary pays", "Bob pays").replace("Bob for", "Mary for"),  # slots are crossed
+        "A farmer sells 12 cows. Mary likes 3 more horses. How many cows did he have?",
+    ]
+    got = found(spark, texts, item, long, inside)
+    assert set(got) == {(0, 0), (1, 0), (2, 1), (3, 2)}
+    assert got[0, 0].altered == 1 and got[1, 0].altered == 2 and got[2, 1].altered == 1 and got[3, 2].altered == 2
+
+
 def test_whole_table_against_brute_force(spark):
     sf = "/root/testdata/sf0.01"
     docs, items = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
