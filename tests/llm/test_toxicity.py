@@ -29,6 +29,22 @@ def test_pairs_that_no_additive_weight_can_tell(spark):
     assert scored.where("is_toxic = (toxic = 1)").count() > 0.9 * scored.count()
 
 
+def test_pairs_with_the_defaults(spark):
+    """The four words are neutral by themselves; no screen of single terms may keep their pairs out."""
+    rng = random.Random(2)
+    rows, labels = [], []
+    for i in range(1500):
+        insult, group = rng.random() < 0.5, rng.random() < 0.5
+        w = prose(rng, 12).split() + ["insult"] * insult + ["group"] * group + ["calm"] * (not insult) + ["alone"] * (not group)
+        rng.shuffle(w)
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(insult == group)))
+    docs = documents(spark, rows)
+    marks = spark.createDataFrame(labels, "doc_id bigint, toxic int")
+    scored = toxicity.score(docs, toxicity.train(docs, marks.where("doc_id < 1200"))).join(marks, "doc_id").where("doc_id >= 1200")
+    assert scored.where("is_toxic = (toxic = 1)").count() > 0.9 * scored.count()
+
+
 def test_awkward_rows(spark):
     docs = awkward(spark)
     labels = spark.createDataFrame([(1, 1), (2, 0), (2, 1), (None, 1), (3, None), (4, 7), (8, 0)], "doc_id bigint, toxic int")
