@@ -12,8 +12,9 @@ its own.  It is fitted with AdaGrad on labelled documents, at most
 Terms of ``min_df`` documents enter the model if their share of toxic documents in that
 sample differs from the base rate by ``min_z`` standard errors, or if their share beside
 some other term differs from what the two terms' own shares add up to by more than chance
-would give in all pairs.  All pairs are tested, whatever their terms are by themselves.  The decision threshold is the one of best F1 on a
-tenth of the sample that takes no part in the fit.
+would give in all pairs.  All pairs are tested, whatever their terms are by themselves.  The
+fit makes ``steps`` updates at every size, and the decision threshold is the one of best F1
+on a tenth of the sample that takes no part in it.
 
 Scoring reads every document once, whole, in vectorised Arrow batches; the model
 is a few thousand rows at any corpus size.
@@ -34,8 +35,8 @@ from brindle.llm.runtime import named, prepare
 from brindle.llm.textkernel import chunks, fold
 
 HASH_BITS = 22
-#: Pairs that are counted at a time.
-PAIRS = 1_000_000
+#: Pairs that are looked up at a time, and cells of a block of the term-document matrix.
+PAIRS, BLOCK = 4_000, 6_000_000
 
 
 def _terms(words, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -71,51 +72,107 @@ class FactorizationMachine:
         return out
 
 
-def _in_pairs(doc: np.ndarray, at: np.ndarray, y: np.ndarray, df: np.ndarray, pos: np.ndarray, base: float) -> np.ndarray:
-    """Whether each term is in a pair with an interaction; ``at`` are the terms of the texts ``doc`` (sorted), rarer ones with less numbers.
+def _bits(doc: np.ndarray, at: np.ndarray, terms: np.ndarray, n: int, docs: int) -> np.ndarray:
+    """Which documents each of ``terms`` (of ``n``) is in, a bit a document."""
+    row = np.full(n, -1, dtype=np.int32)
+    row[terms] = np.arange(len(terms))
+    out = np.zeros((len(terms), -(-docs // 64) * 8), dtype=np.uint8)
+    for s in range(0, len(at), 500_000):
+        r, d = row[at[s : s + 500_000]], doc[s : s + 500_000]
+        r, d = r[r >= 0], d[r >= 0]
+        np.bitwise_or.at(out, (r, d >> 3), (1 << (d & 7)).astype(np.uint8))
+    return out.view(np.uint64)
+
 
-    With n texts of both terms, a toxic share of p and one of e to be expected, chance
-    gives such a share with a probability of exp(-n KL(p, e)) at most (Chernoff).
+def _in_pairs(doc: np.ndarray, at: np.ndarray, y: np.ndarray, df: np.ndarray, pos: np.ndarray, base: float) -> np.ndarray:
+    """Whether each term is in a pair with an interaction; ``at`` are the terms of the documents ``doc``.
+
+    With n documents of both terms, a toxic share of p and one of e to be expected,
+    chance gives such a share with a probability of exp(-n KL(p, e)) at most (Chernoff).
+    All pairs are tested.  Of those with more toxic documents than expected, k, n KL(p, e) is
+    k log(1 / e) at most, so pairs are first counted over toxic documents alone (a product of
+    blocks of the term-document matrix), and n is looked up for what passes; those with
+    fewer toxic documents likewise from the clean ones.
     """
-    n = len(df)
+    n, docs = len(df), len(y)
     inside = np.zeros(n, dtype=bool)
     limit = np.log(max(2.0, n * (n - 1) / 2))
     odds = np.log((pos + base) / (df - pos + 1 - base))  # one text at the base rate is added
     shift = odds - np.log(base / (1 - base))
-    end = np.searchsorted(doc, doc, side="right").astype(np.int32)
-    both = at * np.int32(2) + (y[doc] > 0).astype(np.int32)
-    order = np.argsort(at, kind="stable").astype(np.int32)
-    edge = np.concatenate([[0], np.cumsum(end[order] - order - 1)])  # pairs of a term with more frequent ones
-    first = np.searchsorted(at[order], np.arange(n + 1))
-    i = 0
-    while i < n:
-        to = max(i + 1, int(np.searchsorted(edge[first], edge[first[i]] + PAIRS, side="right")) - 1)
-        where = order[first[i] : first[to]]
-        size = end[where] - where - 1
-        key = np.repeat(at[where].astype(np.int64), size) * (2 * n)
-        key += both[np.repeat(where + 1 - (np.cumsum(size) - size), size) + np.arange(len(key))]
-        key.sort()
-        new = np.flatnonzero(np.diff(key >> 1, prepend=-1))
-        total = np.diff(new, append=len(key))
-        toxic = np.add.reduceat(key & 1, new) if len(new) else new
-        pair = key[new] >> 1
-        here, there = pair // n, pair % n
-        e = np.clip(1 / (1 + np.exp(-(odds[here] + shift[there]))), 1e-4, 1 - 1e-4)
-        p = toxic / total
-        kl = p * np.log(np.maximum(p, 1e-9) / e) + (1 - p) * np.log(np.maximum(1 - p, 1e-9) / (1 - e))
-        found = total * kl >= limit
-        inside[here[found]] = inside[there[found]] = True
-        i = to
+
+    def expected(a: np.ndarray, b: np.ndarray, side: int) -> np.ndarray:
+        e = np.clip(1 / (1 + np.exp(-(odds[a] + shift[b]))), 1e-4, 1 - 1e-4)
+        return e if side else 1 - e
+
+    for side in (1, 0):
+        count = pos if side else df - pos
+        can = np.flatnonzero(count >= 1)
+        for _ in range(3):  # terms with a partner that leaves room for the limit, among those of which that is true
+            room = np.zeros(len(can))
+            steps = np.unique(np.geomspace(1, max(1.0, float(count[can].max(initial=1))), 48))
+            for low, high in zip(steps, [*steps[1:], np.inf], strict=True):
+                partners = can[count[can] >= low]
+                if len(partners):
+                    extreme = partners[[int(np.argmin(shift[partners]) if side else np.argmax(shift[partners]))]]
+                    room = np.maximum(room, np.minimum(count[can], high) * -np.log(expected(can, extreme, side)))
+            can = can[room >= limit]
+        if len(can) < 2:
+            continue
+        can = can[np.argsort(shift[can] if side else -shift[can], kind="stable")]
+        row = np.full(n, -1, dtype=np.int32)
+        row[can] = np.arange(len(can))
+        there = (y > 0) == bool(side)
+        place = np.where(there, np.cumsum(there, dtype=np.int32) - 1, -1).astype(np.int32)
+        use = there[doc] & (row[at] >= 0)
+        r, d = row[at[use]], place[doc[use]]
+        order = np.argsort(r, kind="stable").astype(np.int32)
+        r, d = r[order], d[order]
+        del use, order
+        edge = np.searchsorted(r, np.arange(len(can) + 1))
+        width = int(place.max()) + 1
+        step = max(1, min(1024, BLOCK // max(1, width)))
+        bits = _bits(doc, at, can, n, docs)
+
+        def block(rows: np.ndarray) -> np.ndarray:
+            out = np.zeros((len(rows), width), dtype=np.float32)  # noqa: B023
+            size = edge[rows + 1] - edge[rows]  # noqa: B023
+            out[np.repeat(np.arange(len(rows)), size), d[np.repeat(edge[rows] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]] = 1  # noqa: B023
+            return out
+
+        rest = np.arange(len(can))
+        while len(rest) > 1:
+            # partners come later, so the first of the rest is the most extreme one for all
+            rest = rest[count[can[rest]] * -np.log(expected(can[rest], can[rest[:1]], side)) >= limit]
+            mine = rest[:step]
+            if not len(mine):
+                break
+            left = block(mine)
+            log_q = -np.log(expected(can[rest], can[rest[:1]], side))
+            others = rest[np.minimum(count[can[rest]], float(count[can[mine]].max())) * log_q >= limit]
+            rest = rest[step:]
+            for o in range(0, len(others), step):
+                theirs = others[o : o + step]
+                k = left @ block(theirs).T
+                i, j = np.nonzero((k >= 2) & (k * -np.log(expected(can[mine][:, None], can[theirs][None, :], side)) >= limit))
+                k, i, j = k[i, j], mine[i], theirs[j]
+                fresh = (i < j) & ~(inside[can[i]] & inside[can[j]])
+                i, j, k = i[fresh], j[fresh], k[fresh]
+                for c in range(0, len(i), PAIRS):
+                    ii, jj = i[c : c + PAIRS], j[c : c + PAIRS]
+                    total = np.bitwise_count(bits[ii] & bits[jj]).sum(axis=1)
+                    e, p = expected(can[ii], can[jj], side), k[c : c + PAIRS] / total
+                    kl = p * np.log(np.maximum(p, 1e-9) / e) + (1 - p) * np.log(np.maximum(1 - p, 1e-9) / (1 - e))
+                    found = (p > e) & (total * kl >= limit)
+                    inside[can[ii[found]]] = inside[can[jj[found]]] = True
     return inside
 
 
-def fit(ptr: np.ndarray, term: np.ndarray, y: np.ndarray, *, factors: int = 8, epochs: int = 12, min_steps: int = 400, rate: float = 0.3, l2: float = 1e-5, min_df: int = 5, min_z: float = 3.3, batch: int = 256, seed: int = 7, bits: int = HASH_BITS) -> FactorizationMachine:
-    """Fit on texts whose distinct terms are ``term[ptr[d]:ptr[d + 1]]`` with labels ``y``."""
+def fit(ptr: np.ndarray, term: np.ndarray, y: np.ndarray, *, factors: int = 8, steps: int = 900, rate: float = 0.3, l2: float = 1e-5, min_df: int = 5, min_z: float = 3.3, batch: int = 256, seed: int = 7, bits: int = HASH_BITS) -> FactorizationMachine:
+    """Fit on texts whose distinct terms are ``term[ptr[d]:ptr[d + 1]]`` with labels ``y``, by ``steps`` updates."""
     n = len(y)
     doc = np.repeat(np.arange(n, dtype=np.int32), np.diff(ptr))
     held = np.zeros(n, dtype=bool)
-    if n >= 200:
-        held[9::10] = True
+    held[9::10] = True
     use = ~held
     base = float(np.clip(y[use].mean(), 1e-4, 1 - 1e-4)) if use.any() else 0.5
     bias = np.log(base / (1 - base))
@@ -125,21 +182,17 @@ def fit(ptr: np.ndarray, term: np.ndarray, y: np.ndarray, *, factors: int = 8, e
         inside = use[doc[part]]
         np.add.at(df, term[part][inside], 1)
         np.add.at(pos, term[part][inside], y[doc[part][inside]])
-    z = np.abs(pos - df * base) / np.sqrt(df * base * (1 - base) + 1e-9)
     listed = np.flatnonzero(df >= min_df)
-    enters = z[listed] >= min_z
+    df, pos = df[listed], pos[listed]
+    enters = np.abs(pos - df * base) / np.sqrt(df * base * (1 - base) + 1e-9) >= min_z
     if not enters.all() and 1e-4 < base < 1 - 1e-4:
-        listed, enters = (x[np.argsort(df[listed], kind="stable")] for x in (listed, enters))
         rank = np.full(1 << bits, -1, dtype=np.int32)
         rank[listed] = np.arange(len(listed))
-        known = np.flatnonzero((rank[term] >= 0) & use[doc])
-        key = doc[known] * np.int64(len(listed)) + rank[term[known]]
+        known = (rank[term] >= 0) & use[doc]
+        enters |= _in_pairs(doc[known], rank[term[known]], np.where(use, y, 0), df, pos, base)
         del rank, known
-        key.sort()
-        enters |= _in_pairs((key // len(listed)).astype(np.int32), (key % len(listed)).astype(np.int32), y, df[listed], pos[listed], base)
-        del key
     terms = np.sort(listed[enters])
-    del df, pos, z
+    del df, pos
     rng = np.random.default_rng(seed)
     w = np.zeros(len(terms), dtype=np.float32)
     v = rng.normal(0, 0.01, (len(terms), factors)).astype(np.float32)
@@ -155,30 +208,31 @@ def fit(ptr: np.ndarray, term: np.ndarray, y: np.ndarray, *, factors: int = 8, e
     edge = np.searchsorted(doc, np.arange(n + 1))
     gw, gv, gb = np.full(w.shape, 1e-6, np.float32), np.full(v.shape, 1e-6, np.float32), 1e-6
     train = np.flatnonzero(use)
-    for _ in range(max(epochs, -(-min_steps * batch // max(1, len(train))))):
-        order = rng.permutation(train)
-        for s in range(0, len(order), batch):
-            rows = order[s : s + batch]
-            size = edge[rows + 1] - edge[rows]
-            owner = np.repeat(np.arange(len(rows)), size)
-            ix = at[np.repeat(edge[rows] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
-            vi = v[ix]
-            sums = np.stack([np.bincount(owner, vi[:, j], len(rows)) for j in range(factors)], axis=1)
-            squares = np.bincount(owner, (vi * vi).sum(axis=1), len(rows))
-            f = bias + np.bincount(owner, w[ix], len(rows)) + 0.5 * ((sums**2).sum(axis=1) - squares)
-            g = (1 / (1 + np.exp(-np.clip(f, -30, 30))) - y[rows]) / len(rows)
-            u, inv = np.unique(ix, return_inverse=True)
-            gi = g[owner]
-            grad = np.bincount(inv, gi, len(u)) + l2 * w[u]
-            gw[u] += grad * grad
-            w[u] -= rate * grad / np.sqrt(gw[u])
-            pair = gi[:, None] * (sums[owner] - vi)
-            for j in range(factors):
-                grad = np.bincount(inv, pair[:, j], len(u)) + l2 * v[u, j]
-                gv[u, j] += grad * grad
-                v[u, j] -= 0.3 * rate * grad / np.sqrt(gv[u, j])
-            gb += float(g.sum()) ** 2
-            bias -= rate * float(g.sum()) / np.sqrt(gb)
+    order, made = train[:0], 0
+    while made < steps:
+        if not len(order):
+            order = rng.permutation(train)
+        rows, order, made = order[:batch], order[batch:], made + 1
+        size = edge[rows + 1] - edge[rows]
+        owner = np.repeat(np.arange(len(rows)), size)
+        ix = at[np.repeat(edge[rows] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
+        vi = v[ix]
+        sums = np.stack([np.bincount(owner, vi[:, j], len(rows)) for j in range(factors)], axis=1)
+        squares = np.bincount(owner, (vi * vi).sum(axis=1), len(rows))
+        f = bias + np.bincount(owner, w[ix], len(rows)) + 0.5 * ((sums**2).sum(axis=1) - squares)
+        g = (1 / (1 + np.exp(-np.clip(f, -30, 30))) - y[rows]) / len(rows)
+        u, inv = np.unique(ix, return_inverse=True)
+        gi = g[owner]
+        grad = np.bincount(inv, gi, len(u)) + l2 * w[u]
+        gw[u] += grad * grad
+        w[u] -= rate * grad / np.sqrt(gw[u])
+        pair = gi[:, None] * (sums[owner] - vi)
+        for j in range(factors):
+            grad = np.bincount(inv, pair[:, j], len(u)) + l2 * v[u, j]
+            gv[u, j] += grad * grad
+            v[u, j] -= 0.3 * rate * grad / np.sqrt(gv[u, j])
+        gb += float(g.sum()) ** 2
+        bias -= rate * float(g.sum()) / np.sqrt(gb)
     model.bias = float(bias)
     if held.any() and y[held].any():
         row = np.cumsum(held) - 1
@@ -211,6 +265,10 @@ def _hash_batches(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.R
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_train: int = 20_000, **options) -> FactorizationMachine:
     """Fit on labelled documents; with no usable label the model rejects nothing.
 
+    Null and empty texts are documents without terms; documents without an id, and
+    labels without a document, are left out; a repeated row counts as often as it is
+    there.  Further columns of either table are not read.
+
     Labels other than 0 and 1, and null ones, are left out; of several labels of
     one document the largest counts.
     """
@@ -252,7 +310,12 @@ def score(docs: DataFrame, model: FactorizationMachine, *, id_col: str = "doc_id
 
 
 def reject(docs: DataFrame, model: FactorizationMachine, *, text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that the model calls toxic; all columns stay."""
+    """``docs`` without the rows that the model calls toxic; all columns stay.
+
+    Every row is judged by its text alone, so rows without an id and repeated rows are
+    treated like any other; null and empty texts have the model's bias, which is toxic
+    only if most of the labelled documents are.
+    """
     prepare(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
