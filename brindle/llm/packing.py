@@ -6,13 +6,21 @@ piece lengths, whose size is bounded by the capacity, by a configuration linear
 program: choose how often to use each configuration (a multiset of lengths that
 fits) so that every length is covered and the sequences are as few as possible.
 
-* **multiplicative weights**: every length has a price, which falls
-  exponentially with the share of it that is covered;
-* **pricing**: the configuration of most value at the current prices is an
-  unbounded knapsack, solved by dynamic programming over the capacity;
-* **rounding**: configurations are used a whole number of times, rounded down,
-  the best filled first; the pieces left over go best-fit decreasing into the
-  room that is left and into new sequences.
+* **multiplicative weights**: every length has a weight, which falls exponentially
+  with the share of it that has been covered; a piece's price is its length's weight
+  over its count, at first the share of a sequence that it takes;
+* **pricing**: the configuration of most value at the prices is an unbounded
+  knapsack, solved by dynamic programming over the capacity.  Its table also gives the
+  best configuration through each length, and a round raises all that are within
+  ``slack`` of the best, by no more than covers ``step`` of any length.  The uses of
+  the second half of the rounds, over the coverage they reach, are the fractional solution;
+* **dual bound**: no packing takes fewer sequences than the worth of all pieces over
+  that of the best configuration, whatever the prices.  The largest such bound (of
+  the rounds, and of their average prices, also smoothed) is in the plan;
+* **rounding**: configurations are used a whole number of times, the best filled
+  first, then once more by the parts cut off, as far as pieces are left; what remains goes
+  best-fit decreasing.  Best-fit decreasing of all pieces is the plan to beat: it is
+  taken if it is no worse, and rounds end once it is within ``tol`` of the bound.
 
 The plan on the driver has a row for each configuration, not for each document.
 Pieces are then numbered within their length, in one shuffle of (id, length)
@@ -22,6 +30,7 @@ rows, and a piece's number tells its sequence and offset.
 from __future__ import annotations
 
 import bisect
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,15 +42,11 @@ from pyspark.sql import functions as F
 from brindle.llm.runtime import materialise, named, prepare
 from brindle.llm.textkernel import chunks
 
-CAPACITY, ROUNDS, RATE, STEP, PARTS = 2048, 1500, 0.5, 1.0, 256
+CAPACITY, ROUNDS, RATE, STEP, SLACK, TOL, PARTS = 2048, 200, 1.0, 0.3, 0.05, 0.001, 256
 
 
-def best_configuration(prices: np.ndarray, lengths: np.ndarray, capacity: int, most: np.ndarray | None = None) -> np.ndarray:
-    """How often the most valuable configuration has each length (sorted ascending): an unbounded knapsack.
-
-    With ``most``, bounds on the lengths, the configuration is put together from
-    the unbounded knapsack's table, without those that have run out.
-    """
+def knapsack(prices: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """The value of the best configuration for every room (0 .. capacity), and the length it takes there (0: room is left)."""
     dense = np.full(capacity, -np.inf)
     dense[lengths - 1] = prices
     value = np.zeros(capacity + 1)  # from the end: value[capacity - room], so that a room's sums are of slices
@@ -54,92 +59,92 @@ def best_configuration(prices: np.ndarray, lengths: np.ndarray, capacity: int, m
             value[capacity - room], pick[room] = sums[k], k + 1
         else:
             value[capacity - room] = value[capacity - room + 1]
-    out = np.zeros(capacity + 1, dtype=np.int64)
-    room = capacity
-    if most is None:
-        while room > 0:
-            if pick[room]:
-                out[pick[room]] += 1
-                room -= int(pick[room])
-            else:
-                room -= 1
-        return out[lengths]
-    # with bounds: the best next length of those that are left, valued by the table
-    there = np.zeros(capacity + 1, dtype=np.int64)
-    there[lengths] = most
-    while room > 0:
-        sums = np.add(value[capacity - room + 1 :], dense[:room], out=gain[:room])
-        k = int(sums.argmax())
-        if sums[k] == -np.inf:
-            break
-        out[k + 1] += 1
-        room -= k + 1
-        if out[k + 1] == there[k + 1]:
-            dense[k] = -np.inf
-    return out[lengths]
-
-
-def fractional(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int, rate: float, step: float = STEP) -> tuple[np.ndarray, np.ndarray]:
-    """Configurations and how often each is used, about, by multiplicative weights.
-
-    Prices start at the share of a sequence that a length takes, the optimal dual
-    where sequences can be filled.  A round prices out the best configuration of
-    lengths not yet covered, takes ``step`` of what its scarcest length allows, and lowers the prices of its lengths by ``exp(-rate * share covered)``.
-    It ends when all is covered, or after ``rounds``.
+    return value[::-1], pick
+
+
+def through(first: np.ndarray, pick: np.ndarray, lengths: np.ndarray, capacity: int) -> np.ndarray:
+    """The best configurations that hold each of the lengths ``first`` (numbers in ``lengths``), by the table ``pick``: one row each."""
+    where = np.zeros(capacity + 1, dtype=np.int64)
+    where[lengths] = np.arange(len(lengths))
+    out = np.zeros((len(first), len(lengths)), dtype=np.int16)
+    out[np.arange(len(first)), first] = 1
+    room, live = capacity - lengths[first], np.arange(len(first))
+    while len(live):
+        taken = pick[room[live]]
+        hit = taken > 0
+        out[live[hit], where[taken[hit]]] += 1
+        room[live] -= np.where(hit, taken, 1)
+        live = live[room[live] > 0]
+    return out
+
+
+Config = tuple[tuple[int, int], ...]  # (number of the length, how many), ascending
+
+
+def fractional(lengths: np.ndarray, counts: np.ndarray, capacity: int, best: float, rounds: int = ROUNDS, rate: float = RATE, step: float = STEP, slack: float = SLACK, tol: float = TOL) -> tuple[dict[Config, float], float]:
+    """Uses of configurations by multiplicative weights, and the dual bound.
+
+    Ends early, without uses, once ``best``, what a packing takes, is within ``tol`` of the bound.
     """
-    prices, left = lengths / capacity, counts.astype(np.float64)
-    found: dict[bytes, float] = {}
-    for _ in range(rounds):
-        there = np.flatnonzero(left >= 1)
-        if not len(there):
-            break
-        config = np.zeros(len(lengths), dtype=np.int64)
-        config[there] = best_configuration(prices[there], lengths[there], capacity, left[there].astype(np.int64))
-        has = config > 0
-        most = float((left[has] / config[has]).min())
-        times = min(most, max(1.0, step * most))
-        found[config.tobytes()] = found.get(config.tobytes(), 0.0) + times
-        left -= times * config
-        prices = prices * np.exp(-rate * times * config / counts)
-    return np.array([np.frombuffer(k, dtype=np.int64) for k in found]), np.array(list(found.values()))
+    weight = np.log(counts * lengths / capacity)
+    covered, average = np.zeros(len(lengths)), np.zeros(len(lengths))
+    uses: dict[Config, float] = {}
+    bound = 0.0
+    for turn in range(rounds):
+        now = np.exp(np.maximum(weight - weight.max(), -300))
+        prices = now / counts
+        value, pick = knapsack(prices, lengths, capacity)
+        bound = max(bound, float(now.sum() / value[capacity]))
+        if best <= (1 + tol) * bound + 1:
+            return {}, bound
+        if turn == rounds // 2:
+            covered[:], average[:] = 0, 0
+            uses = {}
+        average += prices / value[capacity]
+        good = np.flatnonzero(prices + value[capacity - lengths] >= (1 - slack) * value[capacity])
+        configs = through(good, pick, lengths, capacity)
+        amount = counts[good] / configs[np.arange(len(good)), good]
+        share = (amount @ configs) / counts
+        amount /= np.where(configs > 0, share, 0).max(axis=1)  # crowded lengths are shared
+        share = (amount @ configs) / counts
+        scale = step / share.max()
+        row, length = np.nonzero(configs)
+        edge = np.searchsorted(row, np.arange(len(good) + 1))
+        many = configs[row, length]
+        for i, more in enumerate((scale * amount).tolist()):
+            inside = slice(edge[i], edge[i + 1])
+            key = tuple(zip(length[inside].tolist(), many[inside].tolist(), strict=True))
+            uses[key] = uses.get(key, 0.0) + more
+        covered += scale * share
+        weight -= rate * scale * share
+    for width in (0, 8, 16, 24, 32, 48):  # noise in the prices only lowers the bound: neighbours' means, ascending with the length
+        smooth = np.maximum.accumulate(np.convolve(np.pad(average, width, mode="edge"), np.ones(2 * width + 1), "valid"))
+        bound = max(bound, float(smooth @ counts / knapsack(smooth, lengths, capacity)[0][capacity]))
+    reached = float(np.quantile(covered, 0.1))  # nearly all lengths; the others' pieces are left to the rounding
+    return {c: x / max(reached, 1e-9) for c, x in uses.items()}, bound
 
 
 @dataclass
 class Plan:
-    """``configs[i]`` fills the sequences ``base[i] .. base[i] + uses[i] - 1``."""
+    """``uses[i]`` sequences are filled as ``configs[i]`` says; ``bound`` is the dual bound on their number."""
 
     lengths: np.ndarray
-    configs: np.ndarray
+    configs: list[Config]
     uses: np.ndarray
+    bound: float = 0.0
 
     @property
     def base(self) -> np.ndarray:
+        """Configuration ``i`` fills the sequences ``base[i] .. base[i] + uses[i] - 1``."""
         return np.concatenate([[0], np.cumsum(self.uses)])
 
 
-def plan(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = ROUNDS, rate: float = RATE) -> Plan:
-    """Whole configurations that hold exactly ``counts`` pieces of ``lengths`` (1 .. capacity, ascending)."""
-    lengths, counts = lengths.astype(np.int64), counts.astype(np.int64)
-    if not len(lengths):
-        return Plan(lengths, np.zeros((0, 0), dtype=np.int64), np.zeros(0, dtype=np.int64))
-    configs, uses = fractional(lengths, counts, capacity, rounds, rate)
-    left = counts.copy()
-    chosen: list[tuple[np.ndarray, int]] = []
-
-    def use(config: np.ndarray, most: int) -> None:
-        has = config > 0
-        times = min(int(most), int((left[has] // config[has]).min()))
-        if times > 0:
-            left[:] -= times * config
-            chosen.append((config, times))
-
-    for i in np.lexsort((-uses, capacity - configs @ lengths)):  # the best filled first
-        use(configs[i], int(uses[i]))
-    # best-fit decreasing over runs of equal pieces
+def best_fit(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> list[tuple[Config, int]]:
+    """Best-fit decreasing over runs of equal pieces: configurations and their uses."""
     rooms: list[int] = []  # rooms of open sequences, ascending
     open_: dict[int, list[tuple[list[int], int]]] = {}  # room -> [(pieces, how many such sequences)]
-    for k in np.flatnonzero(left)[::-1]:
-        size, todo = int(lengths[k]), int(left[k])
+    for k in np.flatnonzero(counts)[::-1].tolist():
+        size, todo = int(lengths[k]), int(counts[k])
         while todo:
             at = bisect.bisect_left(rooms, size)
             if at < len(rooms):
@@ -157,13 +162,38 @@ def plan(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = R
                 now = todo // each
             _keep(rooms, open_, room - each * size, [*pieces, *[k] * each], now)
             todo -= each * now
-    for groups in open_.values():
-        for pieces, many in groups:
-            chosen.append((np.bincount(pieces, minlength=len(lengths)).astype(np.int64), many))
-    merged: dict[bytes, int] = {}
+    return [(tuple(sorted(Counter(pieces).items())), many) for groups in open_.values() for pieces, many in groups]
+
+
+def plan(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = ROUNDS) -> Plan:
+    """Whole configurations that hold exactly ``counts`` pieces of ``lengths`` (1 .. capacity, ascending)."""
+    lengths, counts = lengths.astype(np.int64), counts.astype(np.int64)
+    if not len(lengths):
+        return Plan(lengths, [], np.zeros(0, dtype=np.int64))
+    chosen = best_fit(lengths, counts, capacity)
+    uses, bound = fractional(lengths, counts, capacity, sum(n for _, n in chosen), rounds)
+    left = counts.tolist()
+    rounded: list[tuple[Config, int]] = []
+
+    def use(config: Config, most: int) -> None:
+        times = min([most, *(left[k] // n for k, n in config)])
+        if times > 0:
+            for k, n in config:
+                left[k] -= times * n
+            rounded.append((config, times))
+
+    size = lengths.tolist()
+    for config in sorted(uses, key=lambda c: (-sum(size[k] * n for k, n in c), -uses[c])):
+        use(config, int(uses[config]))
+    for config in sorted(uses, key=lambda c: int(uses[c]) - uses[c]):
+        use(config, 1)
+    rounded += best_fit(lengths, np.array(left), capacity)
+    if sum(n for _, n in rounded) < sum(n for _, n in chosen):
+        chosen = rounded
+    merged: dict[Config, int] = {}
     for config, times in chosen:
-        merged[config.tobytes()] = merged.get(config.tobytes(), 0) + times
-    return Plan(lengths, np.array([np.frombuffer(k, dtype=np.int64) for k in merged]), np.array(list(merged.values())))
+        merged[config] = merged.get(config, 0) + times
+    return Plan(lengths, list(merged), np.array(list(merged.values())), bound)
 
 
 def _keep(rooms: list[int], open_: dict, room: int, pieces: list[int], many: int) -> None:
@@ -178,12 +208,18 @@ class _Places:
 
     def __init__(self, made: Plan):
         self.of: dict[int, tuple] = {}
-        base, before = made.base, made.lengths * made.configs
-        ahead = np.cumsum(before, axis=1) - before if len(made.configs) else before
-        for k, size in enumerate(made.lengths):
-            i = np.flatnonzero(made.configs[:, k])
-            each = made.configs[i, k]
-            self.of[int(size)] = (np.concatenate([[0], np.cumsum(each * made.uses[i])]), each, base[i], ahead[i, k])
+        rows = [(k, i, n) for i, config in enumerate(made.configs) for k, n in config]
+        length, config, each = (np.array(x, dtype=np.int64) for x in (zip(*rows, strict=True) if rows else ((), (), ())))
+        ahead = np.cumsum(made.lengths[length] * each) - made.lengths[length] * each
+        new = np.concatenate([[True], config[1:] != config[:-1]]) if len(config) else np.zeros(0, bool)
+        ahead -= np.maximum.accumulate(np.where(new, ahead, 0)) if len(config) else ahead
+        order = np.argsort(length, kind="stable")
+        edge = np.searchsorted(length[order], np.arange(len(made.lengths) + 1))
+        base = made.base
+        for k, size in enumerate(made.lengths.tolist()):
+            at = order[edge[k] : edge[k + 1]]
+            i = config[at]
+            self.of[size] = (np.concatenate([[0], np.cumsum(each[at] * made.uses[i])]), each[at], base[i], ahead[at])
 
     def find(self, size: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         sequence, offset = np.empty(len(size), np.int64), np.empty(len(size), np.int64)
@@ -208,16 +244,25 @@ def lengths_of(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     return named(docs, id_col, text_col).mapInArrow(_count, "doc_id bigint, tokens bigint")
 
 
-def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, rounds: int = ROUNDS) -> DataFrame:
+def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, rounds: int = ROUNDS, lengths: DataFrame | None = None) -> DataFrame:
     """``(doc_id, piece, start, tokens, sequence, offset)``: every piece and its place.
 
+    ``lengths`` has ``(doc_id, tokens)``, a tokenizer's counts, in place of words and
+    an end mark (null ids and counts, and counts below 1, are left out); ``docs`` isn't
+    read then.
+
     A piece is tokens ``start .. start + tokens - 1`` of its document.  A token is
     a word, plus one end mark a document, so a null or empty text is one token.
     Pieces of one sequence don't overlap, and each token of each row is in one
     piece; rows that share an id are packed as rows of their own, and rows without
     an id are left out.
     """
-    lengths = materialise(lengths_of(docs, id_col=id_col, text_col=text_col))
+    if lengths is None:
+        lengths = lengths_of(docs, id_col=id_col, text_col=text_col)
+    else:
+        prepare(docs.sparkSession)
+        lengths = lengths.selectExpr("cast(doc_id as bigint) as doc_id", "cast(tokens as bigint) as tokens").where("doc_id is not null and tokens > 0")
+    lengths = materialise(lengths)
     whole = F.floor(F.col("tokens") / capacity).cast("bigint")
     rest = (F.col("tokens") % capacity).cast("bigint")
     histogram = lengths.select(rest.alias("rest"), whole.alias("whole")).groupBy("rest").agg(F.count("*").alias("n"), F.sum("whole").alias("whole")).collect()  # at most capacity rows
