@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.textkernel import Words, window_hashes, window_ok
+from brindle.llm.textkernel import RADIX_INV, U64, Words, mix, powers, window_hashes, window_ok
 
 #: Words of a repeated passage, and of an anchor.
 SPAN, GRAM = 50, 10
@@ -87,29 +87,72 @@ ROWS = "key bigint, doc_id bigint, start int, content binary, n int, ref_id bigi
 COMBINE_BYTES = 6 << 20
 
 
-def combine(parts: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array]]) -> Iterator[pa.RecordBatch]:
-    """Segments ``(key, doc_id, start, n, content)`` as ``ROWS``, each content once for ``COMBINE_BYTES`` of them.
+def run_hashes(hashed: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Hashes of the runs of ``size[i]`` words from each of ``at`` on; not those of :func:`window_hashes`."""
+    sums = np.zeros(len(hashed) + 1, dtype=U64)
+    np.cumsum(mix(hashed) * powers(len(hashed)), out=sums[1:])
+    return mix((sums[at + size] - sums[at]) * powers(int(at.max(initial=0)) + 1, RADIX_INV)[at] + size.astype(U64))
 
-    The first of equal segments is sent on; the others repeat it, and only that is
-    sent.  So a passage that millions of documents share is not as many rows of
-    content at the one place where they meet, but one for each stretch of input.
+
+class _Seen:
+    """Segments of this task so far: contents (two hashes) and where each is first.
+
+    Sorted arrays, each more than twice as long as the next, so a segment is merged
+    a logarithmic number of times.
+    """
+
+    def __init__(self) -> None:
+        self.parts: list[list[np.ndarray]] = []
+
+    def find(self, check: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Whether each segment is known, and where it was first: (known, doc, start)."""
+        known, doc, start = np.zeros(len(check), dtype=bool), np.zeros(len(check), np.int64), np.zeros(len(check), np.int64)
+        for c, k, d, s in reversed(self.parts):  # newer parts hold earlier places
+            at = np.minimum(np.searchsorted(c, check), len(c) - 1)
+            hit = ~known & (c[at] == check) & (k[at] == key)
+            known |= hit
+            doc[hit], start[hit] = d[at[hit]], s[at[hit]]
+        return known, doc, start
+
+    def add(self, check: np.ndarray, key: np.ndarray, doc: np.ndarray, start: np.ndarray) -> None:
+        part = [check, key, doc, start]
+        while self.parts and len(self.parts[-1][0]) <= 2 * len(part[0]):
+            part = [np.concatenate([new, old]) for new, old in zip(part, self.parts.pop(), strict=True)]
+        order = np.argsort(part[0], kind="stable")
+        if len(order):
+            self.parts.append([x[order] for x in part])
+
+
+def combine(parts: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """Segments ``(key, doc_id, start, n, content, check)`` as ``ROWS``, each content once a task.
+
+    The first of equal segments (by anchor and ``check``, a hash of all its words: 128 bits) is
+    sent on; the others repeat it, and only that is sent.  A segment that comes later in the
+    input but earlier in the order of ids is sent too.  So a passage that millions of
+    documents share is not as many rows of content at the one place where they meet, but
+    one for each task that reads the input.
     """
     names = [x.split()[0] for x in ROWS.split(", ")]
+    seen = _Seen()
 
     def out(held: list[tuple]) -> pa.RecordBatch:
-        key, doc, start, n = (np.concatenate([h[i] for h in held]) for i in range(4))
+        key, doc, start, n, check = (np.concatenate([h[i] for h in held]) for i in (0, 1, 2, 3, 5))
         content = pa.concat_arrays([h[4] for h in held])
-        code = content.dictionary_encode().indices.to_numpy()
-        order = np.lexsort((start, doc, code, key))
-        k, c, d, s = key[order], code[order], doc[order], start[order]
+        order = np.lexsort((start, doc, key, check))
+        k, c, d, s = key[order], check[order], doc[order], start[order]
         new = np.concatenate([[True], (k[1:] != k[:-1]) | (c[1:] != c[:-1])])
         again = np.concatenate([[False], ~new[1:] & (d[1:] == d[:-1]) & (s[1:] == s[:-1])])  # a repeated row
-        lead = order[np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))]
-        copy = ~new & ~again & ~((d == doc[lead]) & (s == start[lead]))
-        first, rest, of = order[new], order[copy], lead[copy]
+        group = np.cumsum(new) - 1
+        known, of_doc, of_start = seen.find(c[new], k[new])
+        later = known & ((of_doc < d[new]) | ((of_doc == d[new]) & (of_start <= s[new])))
+        of_doc, of_start = np.where(later, of_doc, d[new]), np.where(later, of_start, s[new])
+        first = order[new][~later]
+        seen.add(c[new][~later], k[new][~later], d[new][~later], s[new][~later].astype(np.int64))
+        copy = ~again & ~((d == of_doc[group]) & (s == of_start[group]))
+        rest, of_doc, of_start = order[copy], of_doc[group][copy], of_start[group][copy].astype(np.int32)
         none = lambda kind: pa.nulls(len(first), kind)
         segment_rows = [pa.array(key[first]), pa.array(doc[first]), pa.array(start[first]), content.take(pa.array(first)), none(pa.int32()), none(pa.int64()), none(pa.int32())]
-        run_rows = [pa.array(doc[rest]), pa.array(doc[rest]), pa.array(start[rest]), pa.nulls(len(rest), pa.binary()), pa.array(n[rest].astype(np.int32)), pa.array(doc[of]), pa.array(start[of])]
+        run_rows = [pa.array(doc[rest]), pa.array(doc[rest]), pa.array(start[rest]), pa.nulls(len(rest), pa.binary()), pa.array(n[rest].astype(np.int32)), pa.array(of_doc), pa.array(of_start)]
         return pa.RecordBatch.from_arrays([pa.concat_arrays([a, b]) for a, b in zip(segment_rows, run_rows, strict=True)], names)
 
     held, size = [], 0
@@ -123,8 +166,11 @@ def combine(parts: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
         yield out(held)
 
 
-def meet(rows: DataFrame, solve: Callable[[pa.Table], pa.RecordBatch], span: int) -> DataFrame:
-    """Bring segments together by anchor, ``solve`` whole lists of them, and join all runs to spans."""
+def meet(rows: DataFrame, solve: Callable[[pa.Table], pa.RecordBatch], span: int, schema: str = SPANS, then: Callable | None = None) -> DataFrame:
+    """Bring segments together by anchor, ``solve`` whole lists of them, and join all runs to spans.
+
+    ``then`` is done to the spans, sorted by document and start, and gives rows of ``schema``.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: list[pa.RecordBatch] = []
@@ -145,7 +191,8 @@ def meet(rows: DataFrame, solve: Callable[[pa.Table], pa.RecordBatch], span: int
         yield from known
 
     sorted_rows = rows.repartition("key").sortWithinPartitions("key", "doc_id", "start")
-    return join_runs(sorted_rows.mapInArrow(run, RUNS), span)
+    found = sorted_rows.mapInArrow(run, RUNS).repartition("doc_id").sortWithinPartitions("doc_id", "start")
+    return found.mapInArrow(lambda it: _join_runs(it, span) if then is None else then(_join_runs(it, span)), schema)
 
 
 def lists(batches: Iterator[pa.RecordBatch], rows: int = 20_000) -> Iterator[pa.Table]:
@@ -213,11 +260,6 @@ def _as_spans(batch: pa.RecordBatch, span: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([doc, start, end, ref, ref_start], ["doc_id", "start_word", "end_word", "ref_id", "ref_start"])
 
 
-def join_runs(found: DataFrame, span: int) -> DataFrame:
-    """Spans ``(doc_id, start_word, end_word, ref_id, ref_start)`` out of runs of windows."""
-    return found.repartition("doc_id").sortWithinPartitions("doc_id", "start").mapInArrow(lambda it: _join_runs(it, span), SPANS)
-
-
 def covered(spans: DataFrame) -> DataFrame:
     """``(doc_id, spans)``: each document's spans, overlaps merged, as sorted (start, end) pairs."""
     spans = spans.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start_word", "end_word"))).alias("all"))

@@ -6,7 +6,9 @@ sorted in pieces: suffixes that begin with the same ``min_words`` words have the
 same content-defined anchor (:mod:`brindle.llm.anchors`), so a shuffle by anchor
 hash leaves every group of equal suffixes whole in one piece, and each piece is
 sorted on its own.  A segment of neighbouring suffixes travels as one row with
-its words as 24-bit codes.
+its words as 24-bit codes, and 32 bits of each suffix's own hash over its ``min_words``
+words: suffixes of equal codes are held to be equal only if those agree as well (two
+that differ in one word agree by chance once in 2**56).
 
 Within a piece:
 
@@ -34,16 +36,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.anchors import ROWS, SPAN, binary, combine, covered, flat, meet, runs, segments, spread
+from brindle.llm.anchors import ROWS, SPAN, binary, combine, covered, flat, meet, run_hashes, runs, segments, spread
 from brindle.llm.runtime import fresh, materialise, named, prepare
-from brindle.llm.textkernel import chunks, words_of, buffers
+from brindle.llm.textkernel import buffers, chunks, window_hashes, words_of
 
 SHALLOW = 6
-CODE = 3  # bytes of a word's code
+CODE, CHECK = 3, 4  # bytes of a word's code, and of a window's hash
+
+
+def _codes(hashed: np.ndarray) -> np.ndarray:
+    return hashed.view(np.uint8).reshape(-1, 8)[:, 8 - CODE :]
 
 
 def _segments(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[tuple]:
-    """Segments, with their words' codes as content."""
+    """Segments, with their words' codes and their windows' hashes as content."""
     for batch in batches:
         for part, words in chunks(batch, "text"):
             hashed = words.hashes()
@@ -52,9 +58,13 @@ def _segments(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[tuple]:
                 continue
             doc = np.searchsorted(words.first, found.at, side="right") - 1
             size = found.n + span - 1
-            data = hashed.view(np.uint8).reshape(-1, 8)[:, 8 - CODE :][spread(found.at, size)].ravel()
+            whole = CODE * size + CHECK * found.n
+            data = np.empty(int(whole.sum()), dtype=np.uint8)
+            begin = np.cumsum(whole) - whole
+            data[spread(begin, CODE * size)] = _codes(hashed)[spread(found.at, size)].ravel()
+            data[spread(begin + CODE * size, CHECK * found.n)] = window_hashes(hashed, span).view(np.uint8).reshape(-1, 8)[:, 8 - CHECK :][spread(found.at, found.n)].ravel()
             start = (found.at - words.first[doc]).astype(np.int32)
-            yield found.key, part.column(0).to_numpy()[doc], start, found.n, binary(data, size * CODE)
+            yield found.key, part.column(0).to_numpy()[doc], start, found.n, binary(data, whole), run_hashes(hashed, found.at, size)
 
 
 def shallow(group: np.ndarray, at: np.ndarray, codes: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -172,10 +182,12 @@ def sort_piece(table: pa.Table, span: int) -> pa.RecordBatch:
         key, doc, start, content = key[keep], doc[keep], start[keep], content.filter(pa.array(keep))
     codes_of = content.dictionary_encode().indices.to_numpy()
     data, edge = flat(content)
-    n = np.diff(edge) // CODE - (span - 1)
-    wide = np.zeros((len(data) // CODE, 4), dtype=np.uint8)
-    wide[:, :CODE] = data.reshape(-1, CODE)
+    n = (np.diff(edge) - CODE * (span - 1)) // (CODE + CHECK)
+    wide = np.zeros((int((n + span - 1).sum()), 4), dtype=np.uint8)
+    wide[:, :CODE] = data[spread(edge[:-1], CODE * (n + span - 1))].reshape(-1, CODE)
     codes = wide.view(np.uint32).ravel()
+    checks = np.ascontiguousarray(data[spread(edge[:-1] + CODE * (n + span - 1), CHECK * n)]).view(np.uint32)
+    first_code, first_check = np.cumsum(n + span - 1) - (n + span - 1), np.cumsum(n) - n
     owner = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]]))
     # equal segments: rows come sorted by document and start, so the first is the one to refer to
     _, first, copy = np.unique(owner * (codes_of.max() + 1) + codes_of, return_index=True, return_inverse=True)
@@ -188,14 +200,15 @@ def sort_piece(table: pa.Table, span: int) -> pa.RecordBatch:
     if len(left):
         seg = np.repeat(left, n[left])
         word = spread(np.zeros(len(left), dtype=np.int64), n[left])
-        at = edge[seg] // CODE + word
+        at = first_code[seg] + word
         depth = min(SHALLOW, span)
         rows, group = shallow(owner[seg], at, codes, depth)
         kind = deep(rows, group, at, codes, depth, span)
+        check = checks[(first_check[seg] + word)[rows]]
         seg, place = seg[rows], (start[seg] + word)[rows]
-        order = np.lexsort((place, doc[seg], kind))
-        kind, seg, place = kind[order], seg[order], place[order]
-        new = np.concatenate([[True], kind[1:] != kind[:-1]]) if len(kind) else np.zeros(0, dtype=bool)
+        order = np.lexsort((place, doc[seg], check, kind))
+        kind, check, seg, place = kind[order], check[order], seg[order], place[order]
+        new = np.concatenate([[True], (kind[1:] != kind[:-1]) | (check[1:] != check[:-1])]) if len(kind) else np.zeros(0, dtype=bool)
         head = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0)) if len(kind) else none
         hit = ~new & ~((doc[seg] == doc[seg[head]]) & (place == place[head]))
         got.append((doc[seg[hit]], place[hit], doc[seg[head[hit]]], place[head[hit]]))
