@@ -6,15 +6,15 @@ sorted in pieces: suffixes that begin with the same ``min_words`` words have the
 same content-defined anchor (:mod:`brindle.llm.anchors`), so a shuffle by anchor
 hash leaves every group of equal suffixes whole in one piece, and each piece is
 sorted on its own.  A segment of neighbouring suffixes travels as one row with
-its words as 24-bit codes, and 32 bits of each suffix's own hash over its ``min_words``
+its words as 16-bit codes, and 32 bits of each suffix's own hash over its ``min_words``
 words: suffixes of equal codes are held to be equal only if those agree as well (two
-that differ in one word agree by chance once in 2**56).
+that differ in one word agree by chance once in 2**48).
 
 Within a piece:
 
 * segments with equal words are copies throughout; one of each goes on;
 * **shallow**: multikey quicksort, all groups at once: a group of suffixes is
-  split by its next word, to a depth of ``SHALLOW`` words, and suffixes that are
+  split by its next word's code, to a depth of ``SHALLOW`` words, and suffixes that are
   alone drop out;
 * **deep**: what is left has a long common prefix.  A blind trie orders each
   group: it stores branching depths and branching words only, a suffix descends
@@ -41,7 +41,7 @@ from brindle.llm.runtime import fresh, materialise, named, prepare
 from brindle.llm.textkernel import buffers, chunks, window_hashes, words_of
 
 SHALLOW = 6
-CODE, CHECK = 3, 4  # bytes of a word's code, and of a window's hash
+CODE, CHECK = 2, 4  # bytes of a word's code, and of a window's hash
 
 
 def _codes(hashed: np.ndarray) -> np.ndarray:
