@@ -11,6 +11,7 @@ from brindle import stats
 from brindle.engine import Engine
 from brindle.operators import joins
 from brindle.operators.relational import aggregate, limit, order, project, union_all, where
+from brindle.plans import unnest
 from brindle.plans.dialect import to_spark
 from brindle.sources.files import values
 
@@ -32,7 +33,7 @@ def _text(name: str, text: str, oracle: str | None = None) -> None:
         for table in TABLES:
             if table in text:
                 _table(spark, sf, table).createOrReplaceTempView(table)
-        return spark.sql(to_spark(text))
+        return unnest.sql(spark, to_spark(text))
 
     QUERIES[name], ORACLES[name] = run, oracle or text
 
@@ -72,22 +73,22 @@ def join_inner(t, spark):
     return both.select("n_name", "r_name", "s_suppkey")
 
 
-def _open_orders(t):
-    return t("orders").where("o_totalprice > 300000").select("o_orderkey", "o_custkey", "o_totalprice")
-
-
-_CUSTOMERS, _OPEN = "(select c_custkey, c_nationkey from customer) c", "(select o_orderkey, o_custkey, o_totalprice from orders where o_totalprice > 300000) o"
+# keys are NULL for one segment of the customers and for one status of the orders: unmatched rows on both sides
+_CUSTOMERS = "(select c_custkey, nullif(c_custkey, if(c_mktsegment = 'BUILDING', c_custkey, -1)) as k, c_nationkey from customer) c"
+_ORDERS = "(select o_orderkey, nullif(o_custkey, if(o_orderstatus = 'P', o_custkey, -1)) as j, o_totalprice from orders) o"
 for _kind in ("left", "right", "full"):
 
     def _outer(t, spark, kind=_kind):
-        return joins.join(t("customer").select("c_custkey", "c_nationkey").where("c_custkey % 3 > 0"), _open_orders(t), "o_custkey = c_custkey", kind)
+        customers = t("customer").selectExpr("c_custkey", "nullif(c_custkey, if(c_mktsegment = 'BUILDING', c_custkey, -1)) as k", "c_nationkey")
+        orders = t("orders").selectExpr("o_orderkey", "nullif(o_custkey, if(o_orderstatus = 'P', o_custkey, -1)) as j", "o_totalprice")
+        return joins.join(customers, orders, "j = k", kind)
 
-    _frame(f"join_{_kind}", f"select * from (select c_custkey, c_nationkey from customer where c_custkey % 3 > 0) c {_kind} join {_OPEN} on o_custkey = c_custkey")(_outer)
+    _frame(f"join_{_kind}", f"select * from {_CUSTOMERS} {_kind} join {_ORDERS} on j = k")(_outer)
 
 
-@_frame("join_full_theta", "select a.n_name as a, b.r_name as b from (select * from nation where n_nationkey < 10) a full join region b on n_regionkey < r_regionkey and r_regionkey < 3")
+@_frame("join_full_theta", "select a.n_name as a, b.r_name as b from nation a full join region b on n_regionkey < r_regionkey and r_regionkey < 3")
 def join_full_theta(t, spark):
-    return joins.join(t("nation").where("n_nationkey < 10"), t("region"), "n_regionkey < r_regionkey and r_regionkey < 3", "outer").select(F.col("n_name").alias("a"), F.col("r_name").alias("b"))
+    return joins.join(t("nation"), t("region"), "n_regionkey < r_regionkey and r_regionkey < 3", "outer").select(F.col("n_name").alias("a"), F.col("r_name").alias("b"))
 
 
 @_frame("join_cross", "select r_name, n_name from region, nation")
@@ -100,9 +101,9 @@ def join_theta(t, spark):
     return joins.join(t("supplier"), t("nation"), "s_nationkey > n_nationkey and n_regionkey = 1").select("s_suppkey", "n_name")
 
 
-@_frame("join_null_safe", "select a.o_orderkey, b.k from (select o_orderkey, nullif(o_orderstatus, 'P') as s from orders where o_orderkey < 500) a join (select distinct nullif(o_orderstatus, 'P') as k from orders) b on a.s is not distinct from b.k")
+@_frame("join_null_safe", "select a.o_orderkey, b.k from (select o_orderkey, nullif(o_orderstatus, 'P') as s from orders) a join (select distinct nullif(o_orderstatus, 'P') as k from orders) b on a.s is not distinct from b.k")
 def join_null_safe(t, spark):
-    status = t("orders").selectExpr("o_orderkey", "nullif(o_orderstatus, 'P') as s").where("o_orderkey < 500")
+    status = t("orders").selectExpr("o_orderkey", "nullif(o_orderstatus, 'P') as s")
     keys = t("orders").selectExpr("nullif(o_orderstatus, 'P') as k").distinct()
     return joins.null_safe(status, keys, [("s", "k")]).select("o_orderkey", "k")
 
@@ -148,12 +149,11 @@ def mark_value(t, spark):
     return joins.mark(t("customer"), t("orders").withColumnRenamed("o_custkey", "c_custkey"), ["c_custkey"], "ordered").select("c_custkey", "ordered")
 
 
-# the inner subquery refers to the outermost query: flattened to a join inside the outer EXISTS
-_text(
-    "skip_level",
-    "select r_name from region where exists (select 1 from nation join supplier on s_nationkey = n_nationkey where n_regionkey = r_regionkey and s_acctbal > 9000 + r_regionkey * 100)",
-    "select r_name from region where exists (select 1 from nation where n_regionkey = r_regionkey and exists (select 1 from supplier where s_nationkey = n_nationkey and s_acctbal > 9000 + r_regionkey * 100))",
-)
+# inner subqueries that refer to the outermost query, over one level and more
+_text("skip_level", "select r_name from region where exists (select 1 from nation where n_regionkey = r_regionkey and exists (select 1 from supplier where s_nationkey = n_nationkey and s_acctbal > 9000 + r_regionkey * 100))")
+_text("skip_level_scalar", "select r_name, (select count(*) from nation where n_regionkey = r_regionkey and exists (select 1 from supplier where s_nationkey = n_nationkey and s_acctbal > r_regionkey * 2000)) as nations from region")
+_text("skip_level_in", "select c_custkey from customer where c_nationkey in (select n_nationkey from nation where n_regionkey in (select r_regionkey from region where r_regionkey * 1000 < c_acctbal))")
+_text("skip_two_levels", "select r_name from region r where exists (select 1 from nation n where n_regionkey = r.r_regionkey and exists (select 1 from supplier s where s_nationkey = n.n_nationkey and exists (select 1 from nation x where x.n_nationkey = s.s_nationkey and x.n_regionkey + r.r_regionkey > 3 and n.n_nationkey > r.r_regionkey)))")
 
 
 # aggregation
@@ -171,6 +171,7 @@ def agg_group(t, spark):
 _text("agg_distinct", "select o_orderstatus, count(distinct o_custkey) as customers, count(distinct o_orderpriority) as priorities, sum(distinct o_custkey % 100) as s from orders group by o_orderstatus", "select o_orderstatus, count(distinct o_custkey) as customers, count(distinct o_orderpriority) as priorities, sum(distinct o_custkey % 100)::BIGINT as s from orders group by o_orderstatus")
 _text("agg_logical", "select c_mktsegment, logical_and(c_acctbal > -900) as a, logical_or(c_acctbal > 9990) as o, logical_and(nullif(c_acctbal > 0, true)) as only_false from customer group by c_mktsegment", "select c_mktsegment, bool_and(c_acctbal > -900) as a, bool_or(c_acctbal > 9990) as o, bool_and(nullif(c_acctbal > 0, true)) as only_false from customer group by c_mktsegment")
 _text("agg_minmax_all_types", "select event_type, min(ts) as a, max(ts) as b, min(value) as c, max(user_id) as d, min(props) as e, max(cast(ts as date)) as f, min(value > 50) as g from events group by event_type")
+_text("agg_minmax_distinct", "select o_orderstatus, max(distinct o_totalprice) as a, min(distinct o_orderpriority) as b from orders group by o_orderstatus")
 _text("agg_avg_distinct", "select l_returnflag, avg(distinct l_quantity) as a from lineitem group by l_returnflag")
 _text("agg_empty", "select count(*) as n, count(l_tax) as c, sum(l_tax) as s, min(l_shipdate) as m, avg(l_quantity) as a from lineitem where l_quantity < 0")
 _text("agg_group_null", "select nullif(o_orderstatus, 'O') as s, count(*) as n, count(nullif(o_orderstatus, 'O')) as known from orders group by nullif(o_orderstatus, 'O')")
@@ -184,9 +185,9 @@ def sort_topk(t, spark):
     return limit(order(t("orders").select("o_orderkey", "o_totalprice"), "-o_totalprice", "o_orderkey"), 20)
 
 
-@_frame("sort_nulls", "select o_orderkey, nullif(o_orderstatus, 'F') as s from orders order by s asc nulls first, o_orderkey desc limit 30")
+@_frame("sort_nulls", "select o_orderkey, nullif(o_orderstatus, 'F') as s from orders order by s asc nulls first, o_orderkey desc")
 def sort_nulls(t, spark):
-    return limit(order(t("orders").selectExpr("o_orderkey", "nullif(o_orderstatus, 'F') as s"), "s", "-o_orderkey"), 30)
+    return order(t("orders").selectExpr("o_orderkey", "nullif(o_orderstatus, 'F') as s"), "s", "-o_orderkey")
 
 
 @_frame("limit_offset", "select p_partkey, p_name from part order by p_partkey limit 10 offset 25")
@@ -211,7 +212,15 @@ def values_inline(t, spark):
 
 _text("select_except", "select * except (n_regionkey) from nation", "select * exclude (n_regionkey) from nation")
 
+_text("select_replace", "select * replace (upper(n_name) as n_name, n_regionkey + n_nationkey as n_regionkey) from nation")
+
 # functions
+_text("fn_ifnull", "select c_custkey, ifnull(nullif(c_mktsegment, 'BUILDING'), 'none') as a, ifnull(nullif(c_nationkey, 3), -1) as b, - c_nationkey as c, - c_acctbal as d, -(-c_custkey) as e from customer")
+_text("fn_error", "select o_orderkey, if(o_orderkey < 0, error(concat('negative key ', o_orderpriority)), o_orderkey) as k, coalesce(o_orderstatus, error('no status')) as s from orders", "select o_orderkey, o_orderkey as k, o_orderstatus as s from orders")
+_text("fn_hash", "select count(*) as n, count(distinct hash(o_orderkey, o_orderstatus)) = count(distinct concat(cast(o_orderkey as string), o_orderstatus)) as tells_apart, logical_and(hash(o_custkey) = hash(o_custkey + 0)) as repeats, count(hash(o_comment)) as known from (select *, nullif(o_orderpriority, '5-LOW') as o_comment from orders)", "select count(*) as n, true as tells_apart, true as repeats, count(*) as known from orders")
+_text("fn_now", "select n_nationkey, current_date() = cast(current_timestamp() as date) as same_day, current_timestamp() > timestamp '2020-01-01 00:00:00' as later, date_diff(current_date(), current_date(), day) as d from nation", "select n_nationkey, current_date = current_timestamp::DATE as same_day, true as later, 0::BIGINT as d from nation")
+_text("fn_ts_convert", "select event_id, date(ts) as a, extract(date from ts) as b, string(ts) as c, cast(timestamp(cast(ts as date)) as timestamp_ntz) as d, cast(timestamp(format_timestamp('%Y-%m-%d %H:%M:%S', ts)) as timestamp_ntz) as e, cast(parse_timestamp('%Y-%m-%d %H:%M:%S', format_timestamp('%Y-%m-%d %H:%M:%S', ts)) as timestamp_ntz) as f from events", "select event_id, ts::DATE as a, ts::DATE as b, strftime(ts, '%Y-%m-%dT%H:%M:%S') || case when epoch_us(ts) % 1000000 = 0 then '' when epoch_us(ts) % 1000 = 0 then strftime(ts, '.%g') else strftime(ts, '.%f') end || '+00:00' as c, ts::DATE::TIMESTAMP as d, date_trunc('second', ts) as e, date_trunc('second', ts) as f from events")
+_text("fn_ts_parts", "select event_id, extract(hour from ts) as a, extract(minute from ts) as b, extract(microsecond from ts) as c, extract(year from ts) as d, extract(isoweek from ts) as e, extract(week from ts) as f, extract(quarter from ts) as g, extract(dayofweek from ts) as h, cast(timestamp_trunc(ts, minute) as timestamp_ntz) as i, cast(timestamp_trunc(ts, second) as timestamp_ntz) as j, cast(timestamp_trunc(ts, day) as timestamp_ntz) as k, cast(timestamp_trunc(ts, year) as timestamp_ntz) as l, cast(timestamp_add(ts, interval 5 second) as timestamp_ntz) as m, cast(timestamp_add(ts, interval 7 millisecond) as timestamp_ntz) as n, cast(timestamp_sub(ts, interval 3 hour) as timestamp_ntz) as o, cast(timestamp_add(ts, interval 11 microsecond) as timestamp_ntz) as p, timestamp_diff(ts, timestamp '2024-01-01 00:00:00', second) as q, timestamp_diff(ts, timestamp '2024-01-01 00:00:00', millisecond) as r, timestamp_diff(ts, timestamp '2024-01-01 00:00:00', minute) as s, timestamp_diff(ts, timestamp '2024-01-01 00:00:00', microsecond) as t from events", "select event_id, hour(ts) as a, minute(ts) as b, epoch_us(ts) % 1000000 as c, year(ts) as d, weekofyear(ts) as e, strftime(ts, '%U')::BIGINT as f, quarter(ts) as g, dayofweek(ts) + 1 as h, date_trunc('minute', ts) as i, date_trunc('second', ts) as j, date_trunc('day', ts)::TIMESTAMP as k, date_trunc('year', ts)::TIMESTAMP as l, ts + interval 5 second as m, ts + interval 7 millisecond as n, ts - interval 3 hour as o, ts + interval 11 microsecond as p, trunc((epoch_us(ts) - epoch_us(timestamp '2024-01-01')) / 1000000)::BIGINT as q, trunc((epoch_us(ts) - epoch_us(timestamp '2024-01-01')) / 1000)::BIGINT as r, trunc((epoch_us(ts) - epoch_us(timestamp '2024-01-01')) / 60000000)::BIGINT as s, epoch_us(ts) - epoch_us(timestamp '2024-01-01') as t from events")
 _text(
     "fn_string",
     "select p_partkey, length(p_name) as a, char_length(p_name) as b, byte_length(p_name) as c, upper(p_name) as d, lower(p_brand) as e, reverse(p_name) as f, concat(p_brand, '-', p_type) as g, replace(p_type, 'A', '__') as h, repeat(p_brand, 2) as i, left(p_name, 3) as j, right(p_name, 4) as k, strpos(p_name, 'e') as l, starts_with(p_type, 'S') as m, ends_with(p_type, 'L') as n, chr(p_size + 1000) as o, p_brand || p_name as p from part",
@@ -231,7 +240,7 @@ _text("fn_date_diff", f"select o_orderkey, date_diff({_DAY}, date '1995-06-17',
 _text("fn_ts_arith", "select event_id, cast(timestamp_add(ts, interval 90 minute) as timestamp_ntz) as a, cast(timestamp_sub(ts, interval 1 day) as timestamp_ntz) as b, timestamp_diff(timestamp '2024-06-01 12:00:00', ts, hour) as c, timestamp_diff(timestamp '2024-06-01 12:00:00', ts, day) as d, cast(timestamp_trunc(ts, hour) as timestamp_ntz) as e, cast(timestamp_trunc(ts, month) as timestamp_ntz) as f, extract(second from ts) as g, extract(millisecond from ts) as h from events", "select event_id, ts + interval 90 minute as a, ts - interval 1 day as b, cast(trunc((epoch_us(timestamp '2024-06-01 12:00:00') - epoch_us(ts)) / 3600000000) as BIGINT) as c, date_diff('day', ts::DATE, date '2024-06-01') as d, date_trunc('hour', ts) as e, date_trunc('month', ts)::TIMESTAMP as f, second(ts) as g, (epoch_us(ts) % 1000000) // 1000 as h from events")
 _text("fn_ts_epoch", "select event_id, unix_micros(ts) as a, unix_millis(ts) as b, unix_date(cast(ts as date)) as c, date_from_unix_date(event_id % 20000) as d, cast(timestamp_from_unix_micros(event_id * 1000003) as timestamp_ntz) as e, date(2020, 1 + event_id % 12, 1 + event_id % 28) as f from events", "select event_id, epoch_us(ts) as a, epoch_us(ts) // 1000 as b, date_diff('day', date '1970-01-01', ts::DATE) as c, (date '1970-01-01' + (event_id % 20000)::INTEGER)::DATE as d, make_timestamp(event_id * 1000003) as e, make_date(2020, 1 + event_id % 12, 1 + event_id % 28) as f from events")
 _text("fn_format_parse", f"select o_orderkey, format_date('%Y/%m/%d', {_DAY}) as a, format_date('%b %d, %y', {_DAY}) as b, format_timestamp('%H:%M', o_orderdate) as c, parse_date('%d.%m.%Y', concat(lpad(cast(1 + o_orderkey % 28 as string), 2, '0'), '.02.2021')) as d, string({_DAY}) as e from orders", f"select o_orderkey, strftime({_DAY}, '%Y/%m/%d') as a, strftime({_DAY}, '%b %d, %y') as b, strftime(o_orderdate, '%H:%M') as c, make_date(2021, 2, 1 + o_orderkey % 28) as d, strftime({_DAY}, '%Y-%m-%d') as e from orders")
-_text("fn_cast", "select l_orderkey, l_linenumber, cast(l_quantity as string) as a, cast(l_linenumber > 2 as int64) as b, cast(l_quantity as int64) as c, cast('12' as int64) + l_linenumber as d, cast(cast(l_shipdate as date) as string) as e, cast(l_linenumber as bool) as f, cast(l_discount as string) as g, cast('true' as bool) as h from lineitem where l_linenumber < 4", "select l_orderkey, l_linenumber, l_quantity::BIGINT::VARCHAR as a, (l_linenumber > 2)::BIGINT as b, trunc(l_quantity)::BIGINT as c, 12 + l_linenumber::BIGINT as d, strftime(l_shipdate, '%Y-%m-%d') as e, true as f, case when l_discount = 0 then '0' else l_discount::VARCHAR end as g, true as h from lineitem where l_linenumber < 4")
+_text("fn_cast", "select l_orderkey, l_linenumber, cast(l_quantity as string) as a, cast(l_linenumber > 2 as int64) as b, cast(l_quantity as int64) as c, cast('12' as int64) + l_linenumber as d, cast(cast(l_shipdate as date) as string) as e, cast(l_linenumber as bool) as f, cast(l_discount as string) as g, cast('true' as bool) as h from lineitem", "select l_orderkey, l_linenumber, l_quantity::BIGINT::VARCHAR as a, (l_linenumber > 2)::BIGINT as b, trunc(l_quantity)::BIGINT as c, 12 + l_linenumber::BIGINT as d, strftime(l_shipdate, '%Y-%m-%d') as e, true as f, case when l_discount = 0 then '0' else l_discount::VARCHAR end as g, true as h from lineitem")
 
 
 # the catalog, changes and scripts
@@ -260,15 +269,55 @@ def _script(name: str, script: str, oracle: str | None, sources: tuple[str, ...]
         ORACLES[name] = oracle
 
 
-_COPY = "create table t(k integer, s varchar, x double); insert into t select n_nationkey, n_name, n_regionkey * 1.5 from src_nation;"
-_script("dml_insert_select", _COPY + "insert into t(s, k) values ('new', 100), (null, 101); select * from t", "select n_nationkey::BIGINT as k, n_name as s, (n_regionkey * 1.5)::DOUBLE as x from nation union all values (100, 'new', null), (101, null, null)", ("nation",))
-_script("dml_update_from", _COPY + "update t set s = concat(s, '/', r_name), x = x + 1 from src_region where r_regionkey * 1.5 = x and k < 20; select * from t", "select n_nationkey::BIGINT as k, case when n_nationkey < 20 then n_name || '/' || r_name else n_name end as s, (n_regionkey * 1.5 + case when n_nationkey < 20 then 1 else 0 end)::DOUBLE as x from nation join region on n_regionkey = r_regionkey", ("nation", "region"))
-_script("dml_delete", _COPY + "delete from t where k in (select max(k) from t) or x > 4; select * from t", "select n_nationkey::BIGINT as k, n_name as s, (n_regionkey * 1.5)::DOUBLE as x from nation where n_nationkey <> 24 and n_regionkey * 1.5 <= 4", ("nation",))
+_COPY = "create table t(k integer, s varchar, x double); insert into t select c_custkey, c_name, c_nationkey * 1.5 from src_customer;"
+_COPIED = "select c_custkey::BIGINT as k, c_name as s, (c_nationkey * 1.5)::DOUBLE as x from customer"
+_script("dml_insert_select", _COPY + "insert into t(s, k) values ('new', -100), (null, -101); insert t values (-102, 'without into', 1); select * from t", _COPIED + " union all values (-100, 'new', null), (-101, null, null), (-102, 'without into', 1)", ("customer",))
+_script("dml_update_from", _COPY + "update t set s = concat(s, '/', n_name), x = x + 1 from src_nation where n_nationkey * 1.5 = x and n_regionkey < 3; select * from t", "select c_custkey::BIGINT as k, case when n_regionkey < 3 then c_name || '/' || n_name else c_name end as s, (c_nationkey * 1.5 + case when n_regionkey < 3 then 1 else 0 end)::DOUBLE as x from customer join nation on c_nationkey = n_nationkey", ("customer", "nation"))
+_script("dml_delete", _COPY + "delete from t where k in (select max(k) from t) or x > 4; select * from t", f"select * from ({_COPIED}) where k <> (select max(c_custkey) from customer) and x <= 4", ("customer",))
+_script("ddl_drop", "create schema a; create database a.b; create table a.b.t(i integer); create table u(i integer); create index x on u(i); insert into a.b.t values (1), (2); drop index x; drop table u; create table u(j varchar); insert into u values ('again'); drop table a.b.t; create table a.b.t(i integer); insert into a.b.t values (3); drop database a.b; create database a.b; select (select count(*) from metadata.catalog) as databases, (select count(*) from metadata.table) as tables, (select count(*) from metadata.index) as indexes, j from u", "select 3::BIGINT as databases, 1::BIGINT as tables, 0::BIGINT as indexes, 'again' as j")
+_script("metadata_index_column", "create table t(a integer, b varchar, c double); create index i on t(c, a); create index j on t(b); select i.index_name as idx, l.column_name as col, x.index_order as nth from metadata.index_column as x join metadata.index as i on i.index_id = x.index_id join metadata.column as l on l.table_id = i.table_id and l.column_id = x.column_id", "select * from (values ('i', 'c', 0::BIGINT), ('i', 'a', 1), ('j', 'b', 0)) v(idx, col, nth)")
+_script("qualified_names", "create database shop; create table shop.item(id integer, name varchar); insert into shop.item values (1, 'from shop.item where'), (2, 'metadata.table'); select shop.item.id, shop.item.name, 'from shop.item where' as v, 'metadata.table' as w from shop.item where shop.item.id > 0", "select * from (values (1::BIGINT, 'from shop.item where', 'from shop.item where', 'metadata.table'), (2, 'metadata.table', 'from shop.item where', 'metadata.table')) v(id, name, v, w)")
+_script("index_lookup", _COPY + "create index by_x on t(x, k); insert into t values (-1, 'late', 6); update t set s = upper(s) where x = 6; select k, s from t where x = 6 and k < 1000", "select k, upper(s) as s from (" + _COPIED + " union all values (-1, 'late', 6.0)) where x = 6 and k < 1000", ("customer",))
+_script("index_join", "create table t(k integer, o integer); insert into t select o_custkey, o_orderkey from src_orders; create index by_k on t(k); select c_name, o from src_customer join t on k = c_custkey where c_acctbal > 9000", "select c_name, o_orderkey as o from customer join orders on o_custkey = c_custkey where c_acctbal > 9000", ("customer", "orders"))
+_script("call_ids", "create table t(i integer); create index x on t(i); insert into t values (5); call create_table(100); call create_index(100); select i, next_catalog_id() as c, next_table_id() as n, next_index_id() as x from t", "select 5::BIGINT as i, 100 as c, 101 as n, 101 as x")
 
 
-def _snapshot(spark: SparkSession, sf: str) -> DataFrame:
+def _transaction(spark: SparkSession, sf: str) -> DataFrame:
+    engine = _engine(spark)
+    _table(engine.spark, sf, "customer").createOrReplaceTempView("src_customer")
+    engine.sql(_COPY + "create table log(what varchar, id integer)")
+    with engine.transaction():
+        engine.sql("delete from t where x > 4; insert into log select 'left', count(*) from t; insert into log values ('transaction', xid())")
+    try:
+        with engine.transaction():
+            engine.sql("delete from t where true; insert into log values ('never', 0); assert false")
+    except AssertionError:
+        pass
+    return engine.sql("select what, id, (select count(*) from t) as n from log")
+
+
+QUERIES["transaction"] = _transaction
+ORACLES["transaction"] = f"with t as (select * from ({_COPIED}) where x <= 4) select 'left' as what, count(*) as id, count(*) as n from t union all select 'transaction', 1, count(*) from t"
+
+
+def _traced(spark: SparkSession, sf: str) -> DataFrame:
+    import json
+
     engine = _engine(spark)
     _table(engine.spark, sf, "nation").createOrReplaceTempView("src_nation")
+    events = json.loads(engine.trace("select n_regionkey, count(*) as n from src_nation group by n_regionkey"))["traceEvents"]
+    names = {e["name"].split(" ")[0] for e in events}
+    rows = [(x, x in names) for x in ("query", "analysis", "optimization", "planning", "HashAggregate", "Scan")]
+    return spark.createDataFrame([*rows, ("rows", events[0]["args"]["rows"] == 5)], "span string, there boolean")
+
+
+QUERIES["trace"] = _traced
+ORACLES["trace"] = "select unnest(['query', 'analysis', 'optimization', 'planning', 'HashAggregate', 'Scan', 'rows']) as span, true as there"
+
+
+def _snapshot(spark: SparkSession, sf: str) -> DataFrame:
+    engine = _engine(spark)
+    _table(engine.spark, sf, "customer").createOrReplaceTempView("src_customer")
     engine.sql(_COPY)
     before = engine.snapshot("t")
     engine.sql("delete from t where k < 10; insert into t values (7, 'late', 0.5)")
@@ -277,18 +326,44 @@ def _snapshot(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES["snapshot_read"] = _snapshot
-ORACLES["snapshot_read"] = "with t as (select n_nationkey::BIGINT as k, n_name as s, (n_regionkey * 1.5)::DOUBLE as x from nation) select *, 'old' as v from t union all select *, 'new' as v from t where k >= 10 union all select 7, 'late', 0.5, 'new'"
+ORACLES["snapshot_read"] = f"with t as ({_COPIED}) select *, 'old' as v from t union all select *, 'new' as v from t where k >= 10 union all select 7, 'late', 0.5, 'new'"
 _script("metadata_catalog", "create database shop; create table shop.item(id integer, name varchar); create index by_id on shop.item(id); select c.catalog_name as db, t.table_name as tab, l.column_name as col, l.column_type as kind, i.index_name as idx from metadata.catalog as c join metadata.table as t on t.catalog_id = c.catalog_id join metadata.column as l on l.table_id = t.table_id left join metadata.index as i on i.table_id = t.table_id", "select * from (values ('shop', 'item', 'id', 'BIGINT', 'by_id'), ('shop', 'item', 'name', 'STRING', 'by_id')) v(db, tab, col, kind, idx)")
 _script("params", "select n_name, n_nationkey * @factor as k from src_nation where n_name > @least", "select n_name, n_nationkey * 3 as k from nation where n_name > 'G'", ("nation",), {"factor": 3, "least": "G"})
 _script("script_assert", "create table t(i integer); insert into t values (1), (2), (3); assert (select count(*) from t) = 3 as 'three rows'; select sum(i) as s from t,", "select 6::BIGINT as s")
-_script("explain", "explain select n_name from src_nation where n_nationkey = 3", None, ("nation",))
-_text("any_value", "select o_orderstatus, any_value(o_orderpriority) as p from orders group by o_orderstatus")
-del ORACLES["any_value"]  # any row's value will do
 
 
-def _summary(spark: SparkSession, sf: str) -> dict:
-    return stats.summarise(_table(spark, sf, "lineitem").select("l_orderkey", "l_quantity", "l_returnflag"))
+def _explained(spark: SparkSession, sf: str) -> DataFrame:
+    engine = _engine(spark)
+    _table(engine.spark, sf, "nation").createOrReplaceTempView("src_nation")
+    plan = engine.sql("explain select n_name from src_nation where n_nationkey = 3")
+    return plan.selectExpr("plan like '%Scan parquet%' as scans", "plan like '%PushedFilters%EqualTo(n_nationkey,3)%' as pushes", "count(*) over () as n")
+
+
+QUERIES["explain"] = _explained
+ORACLES["explain"] = "select true as scans, true as pushes, 1::BIGINT as n"
+# single-valued groups: any row's value is the same
+_text("any_value", "select n_nationkey, any_value(n_name) as name, any_value(s_nationkey + 1) as k, any_value(nullif(n_nationkey, n_nationkey)) as nothing from nation left join supplier on s_nationkey = n_nationkey group by n_nationkey")
+
+
+_COLUMNS = "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus l_shipdate".split()
+
+
+def _estimates(spark: SparkSession, sf: str) -> DataFrame:
+    """HyperLogLog++ against exact counts, for every column: within four times its standard error."""
+    lines = _table(spark, sf, "lineitem")
+    found = stats.summarise(lines)["columns"]
+    exact = lines.agg(*[F.count_distinct(f"`{c}`").alias(c) for c in lines.columns]).first()
+    return spark.createDataFrame([(c, exact[c], abs(s["distinct"] - exact[c]) <= max(2, 0.2 * exact[c])) for c, s in found.items()], "col string, distinct_values bigint, near boolean")
+
+
+def _quantiles(spark: SparkSession, sf: str) -> DataFrame:
+    """Quantiles of every number column: how many steps, ascending, from the least to the greatest value."""
+    lines = _table(spark, sf, "lineitem")
+    found = {c: s["quantiles"] for c, s in stats.summarise(lines)["columns"].items() if s["quantiles"]}
+    ends = lines.agg(*[f(f"`{c}`").cast("double").alias(f"{n}_{c}") for c in found for n, f in (("lo", F.min), ("hi", F.max))]).first()
+    return spark.createDataFrame([(c, q == sorted(q), q[0] >= ends[f"lo_{c}"] and q[-1] <= ends[f"hi_{c}"]) for c, q in found.items()], "col string, ascending boolean, inside boolean")
 
 
-QUERIES["stats_ndv"] = lambda spark, sf: spark.createDataFrame([(c, s["distinct"]) for c, s in _summary(spark, sf)["columns"].items()], "column string, distinct_values bigint")
-QUERIES["stats_quantile"] = lambda spark, sf: spark.createDataFrame([(c, i, q) for c, s in _summary(spark, sf)["columns"].items() for i, q in enumerate(s["quantiles"] or [])], "column string, step int, value double")
+QUERIES["stats_ndv"], QUERIES["stats_quantile"] = _estimates, _quantiles
+ORACLES["stats_ndv"] = " union all ".join(f"select '{c}' as col, count(distinct {c}) as distinct_values, true as near from lineitem" for c in _COLUMNS)
+ORACLES["stats_quantile"] = f"select unnest({_COLUMNS[:8]}) as col, true as ascending, true as inside"

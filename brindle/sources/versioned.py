@@ -4,7 +4,13 @@ A table is a folder of immutable parquet segments and of numbered manifests, eac
 listing the segments of one version.  A statement writes new segments and then
 creates the next manifest, which fails if another writer has created it; readers
 of a version are never disturbed.  DELETE and UPDATE rewrite only segments that
-hold rows they change.
+hold rows they change; what they change is written down first, so it is evaluated once.
+
+``begin`` puts off manifests: statements up to ``commit`` read and extend a
+private list of segments, which becomes one version, or none after ``rollback``.
+
+An index is the order of the rows within a segment and a bloom filter for each of its columns:
+a lookup by constants, or a join's runtime filter, reads row groups that may match.
 """
 
 from __future__ import annotations
@@ -21,6 +27,8 @@ ROW = "_row"
 class VersionedTable:
     def __init__(self, spark: SparkSession, path: str, columns: dict[str, str]):
         self.spark, self.path, self.columns = spark, path.rstrip("/"), columns
+        self.indexed: list[list[str]] = []
+        self._staged: tuple[int, list[str]] | None = None
         self._fs = spark._jvm.org.apache.hadoop.fs.Path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
         if self.version() < 0:
             self._commit(0, [])
@@ -39,13 +47,30 @@ class VersionedTable:
             return -1
         return max((int(x.getPath().getName()) for x in self._fs.listStatus(folder)), default=-1)
 
+    def begin(self) -> None:
+        """Collect changes until ``commit`` or ``rollback``."""
+        self._staged = (self.version(), self.segments())
+
+    def commit(self) -> int:
+        """Make one version of the changes since ``begin``; it fails if another writer was faster."""
+        (version, segments), self._staged = self._staged, None
+        return version if segments == self.segments(version) else self._commit(version + 1, segments)
+
+    def rollback(self) -> None:
+        self._staged = None
+
     def _commit(self, version: int, segments: list[str]) -> int:
+        if self._staged is not None:
+            self._staged = (self._staged[0], segments)
+            return self._staged[0]
         stream = self._fs.create(self._hadoop(f"{self.path}/versions/{version}"), False)  # fails if it is there
         stream.write(bytearray(json.dumps(segments).encode()))
         stream.close()
         return version
 
     def segments(self, version: int | None = None) -> list[str]:
+        if version is None and self._staged is not None:
+            return self._staged[1]
         version = self.version() if version is None else version
         stream = self._fs.open(self._hadoop(f"{self.path}/versions/{version}"))
         text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
@@ -71,9 +96,31 @@ class VersionedTable:
 
     def _write(self, df: DataFrame) -> str:
         name = uuid.uuid4().hex
-        df.write.parquet(f"{self.path}/segments/{name}")
+        if self.indexed:
+            df = df.sortWithinPartitions(*[f"`{c}`" for c in self.indexed[0]])
+        blooms = {f"parquet.bloom.filter.enabled#{c}": "true" for columns in self.indexed for c in columns}
+        df.write.options(**blooms).parquet(f"{self.path}/segments/{name}")
         return name
 
+    def index(self, columns: list[str]) -> int:
+        """Keep an index on ``columns`` from now on; rows that are there are written anew."""
+        if columns not in self.indexed:
+            self.indexed.append(columns)
+        return self.compact()
+
+    def compact(self) -> int:
+        """Make one segment of all: a new version with the same rows."""
+        held = self.segments()
+        if not held:
+            return self.version()
+        return self._commit(self.version() + 1, [self._write(self._rows().drop("_segment"))])
+
+    def _noted(self, df: DataFrame, columns: str) -> tuple[DataFrame, str]:
+        """``df`` written down, and where: rows that are used several times are evaluated once."""
+        path = f"{self.path}/noted/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return self.spark.read.schema(columns).parquet(path), path
+
     def _typed(self, df: DataFrame) -> DataFrame:
         return df.select(*[F.col(f"`{c}`").cast(t).alias(c) for c, t in self.columns.items()], F.expr("uuid()").alias(ROW))
 
@@ -101,10 +148,18 @@ class VersionedTable:
         return self._commit(version + 1, [*(s for s in held if s not in touched), self._write(whole)])
 
     def delete(self, gone: DataFrame) -> int:
-        return self._change(gone, None)
+        gone, path = self._noted(gone.select(ROW), f"`{ROW}` string")
+        try:
+            return self._change(gone, None)
+        finally:
+            self._fs.delete(self._hadoop(path), True)
 
     def update(self, changed: DataFrame) -> int:
         """``changed`` has a row id and all columns; a row that is changed twice is an error."""
-        if changed.groupBy(ROW).count().where("count > 1").limit(1).count():
-            raise ValueError("UPDATE matches a row more than once")
-        return self._change(changed, changed.drop(ROW))
+        changed, path = self._noted(changed.select(ROW, *[F.col(f"`{c}`").cast(t) for c, t in self.columns.items()]), f"`{ROW}` string, {self.schema}")
+        try:
+            if changed.groupBy(ROW).count().where("count > 1").limit(1).count():
+                raise ValueError("UPDATE matches a row more than once")
+            return self._change(changed, changed.drop(ROW))
+        finally:
+            self._fs.delete(self._hadoop(path), True)
