@@ -5,36 +5,41 @@ projections, and keeps its vectors as an array sorted by that string.  Vectors
 with a long common prefix lie next to each other, and those that share ``d`` bits
 with a query are one range of the array.
 
+0. equal vectors are one class: its least id stands for it, so a heap of copies is one
+   entry; the ids of a class take their places in the result at the end;
 1. **descend**: in every tree a query goes down to its longest-prefix matches,
-   whatever their length: its neighbours in the sorted array.  The best of them
-   give a first ``k``-th similarity ``s``;
-2. **ascend**, in all trees at once: two vectors of similarity ``s`` share a bit
-   with probability ``p = 1 - acos(s)/pi``, so at level ``d`` a neighbour that is
-   at least as close as the ``k``-th so far is in none of the ranges with
-   probability ``(1 - p**d)**trees``.  The query goes up to the deepest level
-   where that is at most ``miss``, first no further than ``log2(N / 64)``, which
-   tightens ``s``, and then all the way.
+   whatever their length, and learns how many vectors share each of its prefixes;
+2. **ascend**, in all trees at once, one bit at a time: the query goes up until the vectors that
+   share its prefix in some tree (counted once for each tree) are ``target`` at least.  As the
+   counts of all levels are known from the descent, the level where that ends is
+   reached at once.  These candidates are compared with the query and give its
+   ``k``-th similarity ``s``;
+3. two vectors of similarity ``s`` share a bit with probability ``p = 1 - acos(s)/pi``, so at
+   level ``d`` a neighbour that is at least as close as the ``k``-th so far is in
+   none of the ranges with probability ``(1 - p**d)**trees``.  Where that is more than
+   ``miss``, the query goes on up to the deepest level where it isn't.
 
 So vectors with close neighbours stop deep in the trees, vectors without go up as
 far as they must, and no bound is set on the candidates.  The sorted arrays are
 cut into pages of about ``PAGE`` vectors by their leading bits (and those by id if
-they are too full); a range longer than a page is searched page by page.
+they are too full); a range longer than a page is searched page by page, and a page
+passes on no more than the ``k`` best of a query.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.llm.anchors import binary
 from brindle.llm.runtime import materialise, prepare
 
-TREES, K, MISS, SEED, PAGE, NEAR = 24, 10, 0.04, 5, 4096, 12
+TREES, K, MISS, SEED, PAGE, TARGET = 12, 10, 0.04, 5, 4096, 1024
 U64 = np.uint64
 
 
@@ -98,52 +103,17 @@ def _vectors(column: pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(data, dtype=np.float32).reshape(len(column), -1)
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Runs of rows with one first column, from sorted batches."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        key = batch.column(0).to_numpy()
-        edge = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1), len(key)]
-        for s, e in zip(edge[:-1], edge[1:], strict=True):
-            if held and held[-1].column(0)[0].as_py() != key[s]:
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(batch.slice(s, e - s))
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 FOUND = ["vec_id", "neighbour", "similarity"]
+ASKS = "cell bigint, vec_id bigint, vec binary, string bigint, depth bigint, kth float"
 
 
-def _descend(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """Each entry's neighbours in its page of the sorted array."""
-    for table in _groups(batches):
-        order = np.argsort(table.column(3).to_numpy().view(U64), kind="stable")
-        ids, x = table.column(1).to_numpy()[order], _vectors(table.column(2))[order]
-        n = len(ids)
-        sims = np.full((n, 2 * NEAR), -2, dtype=np.float32)
-        other = np.zeros((n, 2 * NEAR), dtype=np.int64)
-        for o in range(1, min(NEAR, n - 1) + 1):
-            s = np.einsum("ij,ij->i", x[:-o], x[o:])
-            sims[:-o, o - 1], other[:-o, o - 1] = s, ids[o:]
-            sims[o:, NEAR + o - 1], other[o:, NEAR + o - 1] = s, ids[:-o]
-        best = np.argpartition(-sims, min(k, 2 * NEAR - 1), axis=1)[:, :k]
-        sims, other = np.take_along_axis(sims, best, 1).ravel(), np.take_along_axis(other, best, 1).ravel()
-        who = np.repeat(ids, best.shape[1])
-        real = (sims > -2) & (who != other)
-        yield pa.RecordBatch.from_arrays([pa.array(who[real]), pa.array(other[real]), pa.array(sims[real])], FOUND)
-
-
-def _ascend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Queries against the entries that share their prefixes; only what beats the k-th so far.
+def _visit(batches: Iterator[pa.RecordBatch], work: Callable) -> Iterator[pa.RecordBatch]:
+    """``work`` on batches of queries and the sorted page that they visit: (queries, strings, ids, vectors).
 
     A page's entries come before its queries, which pass by in batches.
     """
     cell, entries = None, []
-    page: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
+    page: tuple | None = None
     for batch in batches:
         key, depth = batch.column(0).to_numpy(), batch.column(4).to_numpy()
         if not len(key):
@@ -163,30 +133,72 @@ def _ascend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 table = pa.Table.from_batches(entries)
                 string = table.column(3).to_numpy().view(U64)
                 order = np.argsort(string, kind="stable")
-                page, entries = (string[order], table.column(1).to_numpy()[order], _vectors(table.column(2))[order]), []
-            yield from _search(part, *page)
+                vectors = None if table.column(2).null_count else _vectors(table.column(2))[order]
+                page, entries = (string[order], table.column(1).to_numpy()[order], vectors), []
+            yield from work(part, *page)
+
 
+def _range(array: np.ndarray, string: np.ndarray, depth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the strings that share ``depth`` bits with each of ``string`` begin and end."""
+    d = depth.astype(U64)
+    mask = np.where(d > 0, ~U64(0) << (U64(64) - np.maximum(d, U64(1))), U64(0))
+    return np.searchsorted(array, string & mask, side="left"), np.searchsorted(array, string | ~mask, side="right")
 
-def _search(asks: pa.RecordBatch, array: np.ndarray, ids: np.ndarray, target: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """One batch of queries in one page: ``array`` are its sorted strings."""
+
+def _count(asks: pa.RecordBatch, array: np.ndarray, ids: np.ndarray, target: None, bits: int) -> Iterator[pa.RecordBatch]:
+    """How many entries of the page share each prefix of ``bits`` bits and more with a query."""
+    string = asks.column(3).to_numpy().view(U64)
+    counts = np.empty((len(string), 65 - bits), dtype=np.int64)
+    for d in range(bits, 65):
+        lo, hi = _range(array, string, np.full(len(string), d))
+        counts[:, d - bits] = hi - lo
+    yield pa.RecordBatch.from_arrays([asks.column(1), binary(counts.view(np.uint8).ravel(), np.full(len(string), counts.shape[1] * 8))], ["vec_id", "counts"])
+
+
+def _stop(batches: Iterator[pa.RecordBatch], bits: int, target: int) -> Iterator[pa.RecordBatch]:
+    """The level at which a query's synchronous ascent meets ``target``; rows come sorted by query."""
+    held, total = None, np.zeros(65 - bits, dtype=np.int64)
+
+    def level() -> int:
+        return bits + int(np.flatnonzero(total >= target).max(initial=0))  # counts fall with the depth
+
+    for batch in batches:
+        rows: list[tuple[int, int]] = []
+        for who, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if who != held:
+                if held is not None:
+                    rows.append((held, level()))
+                held, total = who, np.zeros(65 - bits, dtype=np.int64)
+            total = total + np.frombuffer(counts, dtype=np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (list(zip(*rows, strict=True)) or [(), ()])], ["vec_id", "depth"])
+    if held is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([held], pa.int64()), pa.array([level()], pa.int64())], ["vec_id", "depth"])
+
+
+def _search(asks: pa.RecordBatch, array: np.ndarray, ids: np.ndarray, target: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
+    """One batch of queries in one page, sorted by ``array``: of each the ``k`` best entries that aren't below its ``kth``."""
     string, depth, kth, who = asks.column(3).to_numpy().view(U64), asks.column(4).to_numpy(), asks.column(5).to_numpy(), asks.column(1).to_numpy()
     x = _vectors(asks.column(2))
     order = np.lexsort((string, depth))
     for s in range(0, len(order), 256):
         q = order[s : s + 256]
-        d = depth[q].astype(U64)
-        mask = np.where(d > 0, ~U64(0) << (U64(64) - np.maximum(d, U64(1))), U64(0))
-        lo = np.searchsorted(array, string[q] & mask, side="left")
-        hi = np.searchsorted(array, string[q] | ~mask, side="right")
+        lo, hi = _range(array, string[q], depth[q])
         for a in range(int(lo.min()), int(hi.max()), PAGE):
             b = min(a + PAGE, int(hi.max()))
-            sims = x[q] @ target[a:b].T
-            rows, cols = np.nonzero(sims > kth[q][:, None])
-            inside = (cols + a >= lo[rows]) & (cols + a < hi[rows])
-            rows, cols = rows[inside], cols[inside]
-            mine, other = who[q[rows]], ids[cols + a]
-            real = mine != other
-            yield pa.RecordBatch.from_arrays([pa.array(mine[real]), pa.array(other[real]), pa.array(sims[rows[real], cols[real]])], FOUND)
+            sims = np.round(x[q] @ target[a:b].T, 6)  # so that equal vectors tie whatever the product's order
+            column = np.arange(a, b)
+            sims[(column < lo[:, None]) | (column >= hi[:, None]) | (ids[a:b] == who[q][:, None])] = -2
+            if b - a > k:  # nothing below the k-th in this page
+                floor = -np.partition(-sims, k - 1, axis=1)[:, k - 1]
+            else:
+                floor = np.full(len(q), -2, dtype=np.float32)
+            rows, cols = np.nonzero((sims >= np.maximum(kth[q] - np.float32(1e-6), floor)[:, None]) & (sims > -2))
+            mine, other, found = who[q[rows]], ids[cols + a], sims[rows, cols]
+            best = np.lexsort((other, -found, rows))
+            rows, mine, other, found = rows[best], mine[best], other[best], found[best]
+            head = np.searchsorted(rows, rows)
+            keep = np.arange(len(rows)) - head < k
+            yield pa.RecordBatch.from_arrays([pa.array(mine[keep]), pa.array(other[keep]), pa.array(found[keep])], FOUND)
 
 
 def _best(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
@@ -224,10 +236,12 @@ def _best(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]
         yield out(pa.concat_tables(held))
 
 
-def neighbours(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, trees: int = TREES, miss: float = MISS, seed: int = SEED) -> DataFrame:
-    """``(vec_id, neighbour, similarity, rank)``: the ``k`` nearest other vectors of every vector.
+def neighbours(vectors: DataFrame, queries: DataFrame | None = None, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, trees: int = TREES, target: int = TARGET, miss: float = MISS, seed: int = SEED) -> DataFrame:
+    """``(vec_id, neighbour, similarity, rank)``: the ``k`` nearest other vectors of every query.
 
-    Vectors are compared by cosine; equal similarities rank by id.  Rows without
+    ``queries`` has the ids (``id_col``) whose vectors are asked about, all of them without it; its
+    other columns aren't read, and ids that ``vectors`` doesn't have are left out.
+    Vectors are compared by cosine, to six decimals; equal similarities rank by id.  Rows without
     an id, null or zero vectors, vectors with a null or infinite element, and ones
     whose length isn't the most frequent length (the smallest of several) are left
     out.  Rows that share an id are one vector, the first by its elements.
@@ -242,32 +256,53 @@ def neighbours(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str =
     dim = sizes.dim
     once = rows.where(F.size("v") == dim).groupBy("vec_id").agg(F.min("v").alias("v"))
     base = materialise(once.mapInArrow(lambda it: _base(it, dim, trees, seed), "vec_id bigint, vec binary, strings binary"))
-    n = base.count()
+    # classes of equal vectors, with their k + 1 least ids; the limit on the rank is applied before the shuffle too
+    nth = F.row_number().over(Window.partitionBy("vec").orderBy("vec_id"))
+    least = base.withColumn("nth", nth).where(F.col("nth") <= k + 1)
+    classes = materialise(least.groupBy("vec").agg(F.min_by("strings", "vec_id").alias("strings"), F.sort_array(F.collect_list("vec_id")).alias("ids")).select(F.col("ids")[0].alias("vec_id"), "vec", "strings", "ids"))
+    asked = base.select("vec_id", "vec")
+    if queries is not None:
+        asked = asked.join(queries.select(F.col(f"`{id_col}`").cast("bigint").alias("vec_id")).distinct(), "vec_id", "left_semi")
+    asked = materialise(asked.join(classes.select("vec", F.col("vec_id").alias("class")), "vec").select("vec_id", "class"))
+    forest = classes.select("vec_id", "vec", "strings")
+    wanted = materialise(forest.join(asked.select(F.col("class").alias("vec_id")).distinct(), "vec_id", "left_semi"))
+    n = classes.count()
     bits = max(0, math.ceil(math.log2(max(n, 1) / PAGE)))
-    entries = base.mapInArrow(lambda it: _entries(it, trees, bits), "cell bigint, vec_id bigint, vec binary, string bigint")
+    entries = forest.mapInArrow(lambda it: _entries(it, trees, bits), "cell bigint, vec_id bigint, vec binary, string bigint")
     # pages that stay too full, of vectors with equal strings, are divided by id
     full = materialise(entries.groupBy("cell").count().where(F.col("count") > 4 * PAGE).select("cell", F.ceil(F.col("count") / (2 * PAGE)).cast("int").alias("parts")))
     part = F.coalesce(F.pmod(F.xxhash64("vec_id"), F.col("parts")), F.lit(0)).cast("int")
-    placed = entries.join(full, "cell", "left").select((F.col("cell") + (part.cast("bigint") * (1 << 32))).alias("cell"), "vec_id", "vec", "string")
+    placed = entries.join(full, "cell", "left").select((F.col("cell") + (part.cast("bigint") * (1 << 32))).alias("cell"), "vec_id", "vec", "string", F.lit(-1).cast("bigint").alias("depth"), F.lit(0.0).cast("float").alias("kth"))
+
+    def visits(who: DataFrame) -> DataFrame:
+        """The pages that queries ``(vec_id, depth, kth)`` visit."""
+        asks = wanted.join(who, "vec_id").select("vec_id", "vec", "strings", "depth", "kth").mapInArrow(lambda it: _asks(it, trees, bits), ASKS)
+        return asks.join(full, "cell", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("parts") - 1, F.lit(0))))).select((F.col("cell") + F.col("part").cast("bigint") * (1 << 32)).alias("cell"), "vec_id", "vec", "string", "depth", "kth")
+
+    def visit(page: DataFrame, who: DataFrame, work: Callable, result: str) -> DataFrame:
+        both = page.unionAll(visits(who)).repartition("cell").sortWithinPartitions("cell", "depth")
+        return both.mapInArrow(lambda it: _visit(it, work), result)
 
     def merge(found: DataFrame) -> DataFrame:
-        return materialise(found.repartition("vec_id").sortWithinPartitions("vec_id").mapInArrow(lambda it: _best(it, k), schema))
-
-    best = merge(placed.repartition("cell").sortWithinPartitions("cell").mapInArrow(lambda it: _descend(it, k), "vec_id bigint, neighbour bigint, similarity float"))
-    first = max(0, math.ceil(math.log2(max(n, 1) / 64)))
-    done = F.lit(65).cast("bigint")
-    state = base.select("vec_id").withColumn("done", done)
-    for deepest in (first, 0):
-        kth = best.groupBy("vec_id").agg(F.when(F.count("*") >= k, F.min("similarity")).otherwise(F.lit(-1.0)).cast("float").alias("kth"))
-        now = state.join(kth, "vec_id", "left").select("vec_id", "done", F.coalesce("kth", F.lit(-1.0).cast("float")).alias("kth"))
-        p = 1 - F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("kth").cast("double")))) / math.pi
-        deep = F.floor(math.log(1 - miss ** (1 / trees)) / F.log(F.greatest(F.lit(1e-9), F.least(F.lit(1 - 1e-6), p))))
-        now = materialise(now.select("vec_id", "done", F.greatest(F.lit(deepest), F.least(F.lit(64), deep)).cast("bigint").alias("depth"), "kth"))
-        active = now.where("depth < done").select("vec_id", "depth", "kth")
-        asks = base.join(active, "vec_id").select("vec_id", "vec", "strings", "depth", "kth").mapInArrow(lambda it: _asks(it, trees, bits), "cell bigint, vec_id bigint, vec binary, string bigint, depth bigint, kth float")
-        asks = asks.join(full, "cell", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("parts") - 1, F.lit(0))))).select((F.col("cell") + F.col("part").cast("bigint") * (1 << 32)).alias("cell"), "vec_id", "vec", "string", "depth", "kth")
-        both = placed.select("*", F.lit(-1).cast("bigint").alias("depth"), F.lit(0.0).cast("float").alias("kth")).unionAll(asks)
-        found = both.repartition("cell").sortWithinPartitions("cell", "depth").mapInArrow(_ascend, "vec_id bigint, neighbour bigint, similarity float")
-        best = merge(found.unionAll(best.select("vec_id", "neighbour", "similarity")))
-        state = now.select("vec_id", F.least("done", "depth").alias("done"))
-    return best
+        return found.repartition("vec_id").sortWithinPartitions("vec_id").mapInArrow(lambda it: _best(it, k), schema)
+
+    nothing = F.lit(-1.0).cast("float")
+    start = wanted.select("vec_id", F.lit(64).cast("bigint").alias("depth"), nothing.alias("kth"))
+    bare = placed.withColumn("vec", F.lit(None).cast("binary"))
+    counts = visit(bare, start, lambda *page: _count(*page, bits), "vec_id bigint, counts binary")
+    stops = materialise(counts.repartition("vec_id").sortWithinPartitions("vec_id").mapInArrow(lambda it: _stop(it, bits, target), "vec_id bigint, depth bigint"))
+    triples = "vec_id bigint, neighbour bigint, similarity float"
+    best = materialise(merge(visit(placed, stops.withColumn("kth", nothing), lambda *page: _search(*page, k), triples)))
+    kth = best.groupBy("vec_id").agg(F.when(F.count("*") >= k, F.min("similarity")).otherwise(nothing).cast("float").alias("kth"))
+    now = stops.join(kth, "vec_id", "left").select("vec_id", F.col("depth").alias("done"), F.coalesce("kth", nothing).alias("kth"))
+    p = 1 - F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("kth").cast("double")))) / math.pi
+    deep = F.floor(math.log(1 - miss ** (1 / trees)) / F.log(F.greatest(F.lit(1e-9), F.least(F.lit(1 - 1e-6), p))))
+    more = materialise(now.select("vec_id", "done", F.greatest(F.lit(0), F.least(F.lit(64), deep)).cast("bigint").alias("depth"), "kth").where("depth < done").select("vec_id", "depth", "kth"))
+    best = materialise(merge(visit(placed, more, lambda *page: _search(*page, k), triples).unionAll(best.select("vec_id", "neighbour", "similarity"))))
+    # from classes to ids: a class stands for its k + 1 least ones, and a query's own class is as close as can be
+    near = best.select(F.col("vec_id").alias("class"), F.col("neighbour").alias("other"), "similarity").unionAll(wanted.select(F.col("vec_id").alias("class"), F.col("vec_id").alias("other"), F.lit(1.0).cast("float").alias("similarity")))
+    ids = near.join(classes.select(F.col("vec_id").alias("other"), "ids"), "other").select("class", F.explode("ids").alias("neighbour"), "similarity")
+    # the k + 1 best of a class, of which every one of its ids leaves out itself, if it is there
+    rank = F.row_number().over(Window.partitionBy("class").orderBy(F.desc("similarity"), "neighbour"))
+    short = ids.withColumn("nth", rank).where(F.col("nth") <= k + 1).drop("nth")
+    return merge(asked.join(short, "class").where("vec_id <> neighbour").select("vec_id", "neighbour", "similarity"))
