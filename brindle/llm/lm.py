@@ -18,13 +18,17 @@ How the counts meet the texts:
    hashes as differences, go to buckets of the hash range, where all batches'
    counts are added up, and the sum less the asking fold's goes back.  A frequent
    n-gram is one entry a batch, so it makes no bucket heavy;
-3. batches and answers meet, and every token becomes a cell: bucket and the three
-   estimates as quarter powers of two.  A histogram of cells (to whole powers, at
-   most 32 * 32**3 of them) is all that the driver sees, for the EM;
-4. documents are scored from their cells.
+3. batches and answers meet, and every document gets the counts of its tokens' n-grams.
+   A token falls into a *cell*: its bucket and the whole powers of two of its three estimates.
+   A histogram of the cells (at most 32 * 32**3 of them), with the means of the estimates in each, is
+   all that the driver sees, for the EM;
+4. documents are scored from their counts, without rounding.
 
-Hashes have 14 bits more than it takes to number the n-grams (at most 62 bits),
-so about one in 16,000 n-grams shares its count with another.
+Hashes have 18 bits more than it takes to number the n-grams (at most 62 bits),
+so about one in 260,000 n-grams shares its count with another.
+
+Each batch sends a row to each bucket of n-grams that it has, as in any shuffle: with b batches and r
+buckets that is b * r rows of a few thousand n-grams each, at most as many as there are n-grams.
 """
 
 from __future__ import annotations
@@ -42,9 +46,9 @@ from brindle.llm.runtime import discard, materialise, named, prepare, release
 from brindle.llm.textkernel import RADIX, U64, chunks, mix
 
 FOLDS, ROUNDS = 4, 60
-BATCH_WORDS, BUCKET_ENTRIES, SPARE_BITS = 800_000, 1_000_000, 14
+BATCH_WORDS, BUCKET_ENTRIES, SPARE_BITS = 800_000, 1_500_000, 18
 BEGIN, BEGUN, END = U64(0x1B873593CC9E2D51), U64(0x2545F4914F6CDD1D), U64(0x27D4EB2F165667C5)
-NONE = 127  # the quarter power that stands for probability 0
+NONE = 31  # the power that stands for probability 0
 BODY = "batch bigint, fold int, tokens bigint, docs binary, counts binary, vocab binary, ids binary"
 
 
@@ -174,29 +178,31 @@ def _answer(batches: Iterator[pa.RecordBatch], folds: int) -> Iterator[pa.Record
         yield out(rows)
 
 
-def quarter(p: np.ndarray) -> np.ndarray:
-    """``-4 log2 p``, rounded, from 0 to 126; NONE for 0."""
-    with np.errstate(divide="ignore"):
-        q = -4 * np.log2(p)
-    return np.where(p > 0, np.clip(np.rint(np.minimum(q, 126)), 0, 126), NONE).astype(np.int64)
-
-
 def context_bucket(pair: np.ndarray, word: np.ndarray) -> np.ndarray:
     """1-14 by ``c(ab)``; 16-31 by ``c(b)`` where that is 0; 15 where both are."""
     log = lambda c: np.floor(np.log2(np.maximum(c, 1))).astype(np.int64)
     return np.where(pair > 0, 1 + np.minimum(log(pair), 13), np.where(word > 0, 16 + np.minimum(log(word), 15), 15))
 
 
-def cells(triple: np.ndarray, pair: np.ndarray, next_pair: np.ndarray, context: np.ndarray, word: np.ndarray, total: int) -> np.ndarray:
-    """The cells of tokens with counts c(abc), c(ab), c(bc), c(b), c(c)."""
-    p3 = quarter(triple / np.maximum(np.maximum(pair, triple), 1))
-    p2 = quarter(next_pair / np.maximum(np.maximum(context, next_pair), 1))
-    p1 = quarter(word / max(total, 1))
-    return (context_bucket(pair, context) << 21) | (p3 << 14) | (p2 << 7) | p1
+def estimates(counts: np.ndarray, edge: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Context buckets of the tokens, and their maximum-likelihood estimates of order 3, 2 and 1 (one row each).
+
+    ``counts`` holds, for each document of n tokens (``edge``: where they begin), the counts of its n
+    trigrams, of n + 1 pairs and of n + 1 words, the first ones those before its first token;
+    ``total`` is the number of tokens outside its fold.
+    """
+    n = np.diff(edge)
+    first = np.cumsum(3 * n + 2) - (3 * n + 2)
+    place = np.arange(int(edge[-1])) - np.repeat(edge[:-1], n)
+    three = np.repeat(first, n) + place
+    pair, word = three + np.repeat(n, n), three + np.repeat(2 * n + 1, n)
+    abc, ab, bc, b, c = (counts[at].astype(np.float64) for at in (three, pair, pair + 1, word, word + 1))
+    found = np.stack([abc / np.maximum(np.maximum(ab, abc), 1), bc / np.maximum(np.maximum(b, bc), 1), c / np.maximum(np.repeat(total, n), 1)])
+    return context_bucket(ab, b), found
 
 
-def _cells(batches: Iterator[pa.RecordBatch], bits: int, totals: dict[int, int]) -> Iterator[pa.RecordBatch]:
-    """Cells of every document; a batch's body comes first, then its answers by bucket."""
+def _counted(batches: Iterator[pa.RecordBatch], bits: int, totals: dict[int, int]) -> Iterator[pa.RecordBatch]:
+    """Counts of every document; a batch's body comes first, then its answers by bucket."""
 
     def out(body: tuple, replies: list[bytes]) -> pa.RecordBatch:
         _, fold, docs, counts, vocab, ids = body
@@ -205,14 +211,14 @@ def _cells(batches: Iterator[pa.RecordBatch], bits: int, totals: dict[int, int])
         _, which = np.unique(made.grams(), return_inverse=True)
         count = np.concatenate([_unpack(r, 4) for r in replies]).astype(np.int64)[which]
         word = count[: len(place)]
-        pair, triple = np.zeros(len(place), np.int64), np.zeros(len(place), np.int64)
-        pair[place >= 1] = count[len(place) : len(place) + int((place >= 1).sum())]
-        triple[place >= 2] = count[len(place) + int((place >= 1).sum()) :]
-        at = np.flatnonzero(place >= 2)
-        found = cells(triple[at], pair[at - 1], pair[at], word[at - 1], word[at], totals.get(fold, 0))
-        edge = np.concatenate([[0], np.cumsum(made.counts - 2)])
-        packed = [_pack(found[s:e], 4) for s, e in zip(edge[:-1], edge[1:], strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array(np.frombuffer(docs, np.int64)), pa.array(packed, pa.binary())], ["doc_id", "cells"])
+        two = len(place) + int((place >= 1).sum())
+        pair, triple = count[len(place) : two], count[two:]
+        n = made.counts - 2
+        rows = []
+        at_word, at_pair, at_triple = (np.cumsum(made.counts - x) - (made.counts - x) for x in (0, 1, 2))
+        for i, k in enumerate(n.tolist()):  # the word that begins a text is no context
+            rows.append(_pack(np.concatenate([triple[at_triple[i] : at_triple[i] + k], pair[at_pair[i] : at_pair[i] + k + 1], word[at_word[i] + 1 : at_word[i] + k + 2]]), 4))
+        return pa.RecordBatch.from_arrays([pa.array(np.frombuffer(docs, np.int64)), pa.array(np.full(len(rows), totals.get(fold, 0), np.int64)), pa.array(rows, pa.binary())], ["doc_id", "total", "counts"])
 
     body, replies = None, []
     for batch in batches:
@@ -227,29 +233,35 @@ def _cells(batches: Iterator[pa.RecordBatch], bits: int, totals: dict[int, int])
         yield out(body, replies)
 
 
-def coarse(cell: np.ndarray) -> np.ndarray:
-    """Cells to whole powers of two: bucket, then five bits for each estimate (31: none)."""
-    out = cell >> 21
-    for shift in (14, 7, 0):
-        q = (cell >> shift) & 127
-        out = (out << 5) | np.where(q == NONE, 31, np.minimum(q >> 2, 30))
-    return out
+def _of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where the documents' tokens begin, their buckets and estimates."""
+    counts = [_unpack(x, 4) for x in batch.column(2).to_pylist()]
+    edge = np.concatenate([[0], np.cumsum([(len(x) - 2) // 3 for x in counts])])
+    return edge, *estimates(np.concatenate(counts), edge, batch.column(1).to_numpy())
 
 
-def _histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of some documents each, as counts unpack to much more than they take."""
     for batch in batches:
-        found = [_unpack(x, 4) for x in batch.column(0).to_pylist()]
-        if found:
-            cell, n = np.unique(coarse(np.concatenate(found).astype(np.int64)), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(n)], ["cell", "n"])
-
-
-def learn(cell: np.ndarray, n: np.ndarray, words: int, rounds: int = ROUNDS) -> np.ndarray:
-    """Weights (bucket, order 3 to 0) by expectation-maximisation on a histogram of coarse cells."""
-    bucket = cell >> 15
-    q = np.stack([(cell >> s) & 31 for s in (10, 5, 0)], axis=1)
-    p = np.where(q == 31, 0.0, 2.0 ** -(q + 0.375))
-    p = np.column_stack([p, np.full(len(p), 1 / max(words, 1))])
+        for at in range(0, batch.num_rows, 200):
+            yield batch.slice(at, 200)
+
+
+def _histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Cells, how many tokens they have, and the sums of their estimates."""
+    for batch in _parts(batches):
+        _, bucket, p = _of(batch)
+        cell = bucket
+        for x in p:
+            with np.errstate(divide="ignore"):
+                cell = (cell << 5) | np.where(x > 0, np.clip(np.floor(-np.log2(x)), 0, NONE - 1), NONE).astype(np.int64)
+        cell, which, n = np.unique(cell, return_inverse=True, return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(n), *[pa.array(np.bincount(which, x, len(cell))) for x in p]], ["cell", "n", "p3", "p2", "p1"])
+
+
+def learn(bucket: np.ndarray, n: np.ndarray, p: np.ndarray, words: int, rounds: int = ROUNDS) -> np.ndarray:
+    """Weights (bucket, order 3 to 0) by expectation-maximisation: ``n`` tokens each have the estimates ``p`` (one row an order)."""
+    p = np.column_stack([*p, np.full(len(n), 1 / max(words, 1))])
     weights = np.full((32, 4), 0.25)
     for _ in range(rounds):
         part = weights[bucket] * p
@@ -260,23 +272,14 @@ def learn(cell: np.ndarray, n: np.ndarray, words: int, rounds: int = ROUNDS) ->
     return weights
 
 
-def log_probabilities(cell: np.ndarray, weights: np.ndarray, words: int) -> np.ndarray:
-    """Base-2 logarithms of the mixture's probabilities."""
-    mixed = weights[cell >> 21, 3] / max(words, 1)
-    powers = np.append(2.0 ** (-np.arange(NONE) / 4), 0.0)
-    for j, shift in enumerate((14, 7, 0)):
-        mixed = mixed + weights[cell >> 21, j] * powers[(cell >> shift) & 127]
-    return np.log2(mixed)
-
-
-def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", folds: int = FOLDS) -> DataFrame:
+def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", folds: int = FOLDS, weights: np.ndarray | None = None) -> DataFrame:
     """``(doc_id, tokens, log2_prob, perplexity)`` of every row with an id.
 
     Words are runs of characters other than ASCII white space; a text ends with
     one more token, so null and empty texts have one.  Rows that share an id are
     scored one by one, in one fold, so copies with one id don't predict each
-    other.  Estimates are rounded to quarter powers of two.  Rows without an id
-    are left out and not counted.
+    other.  Rows without an id are left out and not counted.  ``weights`` (32 buckets, orders 3 to 0)
+    are learned if they aren't given.
     """
     spark = docs.sparkSession
     prepare(spark)
@@ -294,17 +297,21 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", fo
     right = answers.select("batch", none.cast("int").alias("fold"), none.cast("bigint").alias("tokens"), *[none.cast("binary").alias(c) for c in ("docs", "counts", "vocab", "ids")], "bucket", "reply")
     met = left.unionAll(right).repartition("batch").sortWithinPartitions("batch", "bucket")
     release(spark)
-    coded = materialise(met.mapInArrow(lambda it: _cells(it, bits, others), "doc_id bigint, cells binary"))
+    coded = materialise(met.mapInArrow(lambda it: _counted(it, bits, others), "doc_id bigint, total bigint, counts binary"))
     discard(body, answers)
-    histogram = coded.select("cells").mapInArrow(_histogram, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    weights = learn(histogram.column("cell").to_numpy(), histogram.column("n").to_numpy(), words)
+    if weights is None:
+        sums = [F.sum(c).alias(c) for c in ("n", "p3", "p2", "p1")]
+        cells = coded.mapInArrow(_histogram, "cell bigint, n bigint, p3 double, p2 double, p1 double").groupBy("cell").agg(*sums).toArrow()
+        cell, n, *p = (cells.column(c).to_numpy() for c in ("cell", "n", "p3", "p2", "p1"))
+        weights = learn(cell >> 15, n, np.stack(p) / np.maximum(n, 1), words)
 
     def final(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [_unpack(x, 4).astype(np.int64) for x in batch.column(1).to_pylist()]
-            if found:
-                size = np.array([len(x) for x in found])
-                logs = np.add.reduceat(log_probabilities(np.concatenate(found), weights, words), np.concatenate([[0], np.cumsum(size)[:-1]]))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(logs), pa.array(2.0 ** np.minimum(-logs / size, 1000))], ["doc_id", "tokens", "log2_prob", "perplexity"])
+        for batch in _parts(batches):
+            edge, bucket, p = _of(batch)
+            mixed = weights[bucket, 3] / max(words, 1)
+            for j in range(3):
+                mixed += weights[bucket, j] * p[j]
+            size, logs = np.diff(edge), np.add.reduceat(np.log2(mixed), edge[:-1])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(logs), pa.array(2.0 ** np.minimum(-logs / size, 1000))], ["doc_id", "tokens", "log2_prob", "perplexity"])
 
     return coded.mapInArrow(final, "doc_id bigint, tokens bigint, log2_prob double, perplexity double")
