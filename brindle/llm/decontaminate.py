@@ -11,24 +11,27 @@ wherever it stands; so lines may be broken in other places.
 Windows of ``window`` template tokens of every benchmark item are hash-joined
 with those of every document.  Hits of one document and item on one diagonal
 (document position minus item position) must agree about their slots: an item's
-value stands for one document value and the other way round.  So an item asked
+value stands for one document value and the other way round, those that most windows of the
+diagonal have (of as many, the least hash); windows with another are left out.  So an item asked
 again with other numbers or names is found, and a text that merely has the same
 shape with its slots crossed is not.
 
-A window of a template has ``MIN_LITERALS`` literals at least, and a template
-``MIN_TOKENS`` tokens; fewer can't be told from ordinary text.  Items that this
+A window of a template has ``min_literals`` literals at least, and a template
+``min_tokens`` tokens; fewer can't be told from ordinary text.  Items that this
 or runs of placeholders leave with less than all their windows (questions of
 numbers, very short ones) have their words as a fourth, *exact* template: those
 are found verbatim, apart from case and punctuation.
 
 An item leaks into a document if consistent windows of one template make up
-``min_share`` of the item's windows there, or there are ``min_run`` of them.  Items
+``min_share`` of the item's windows there, or there are ``min_run`` of them, and more of the
+diagonal's windows are consistent than not.  Items
 shorter than a window are one window of their own length, so an item of one word
 leaks into every document with that word; only items without words match nothing.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -162,7 +165,7 @@ def _texts(batch: pa.RecordBatch, templates: list[int]) -> Iterator[tuple[pa.Rec
         at = to
 
 
-def _item_windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+def _item_windows(batches: Iterator[pa.RecordBatch], window: int, min_literals: int, min_tokens: int) -> Iterator[pa.RecordBatch]:
     templates = [TYPED, PLAIN, CAPITAL, EXACT]
     for batch in batches:
         for part, all_found in _texts(batch, templates):
@@ -173,14 +176,14 @@ def _item_windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa
                 if template == EXACT:
                     listed = (counts > 0) & ~whole
                 else:
-                    listed = counts >= min(window, MIN_TOKENS)
+                    listed = counts >= min(window, min_tokens)
                 for width in np.unique(np.minimum(counts[listed], window)):
                     hashes = window_hashes(found.token, int(width))
                     of = np.searchsorted(found.first, np.arange(len(hashes)), side="right") - 1
                     ok = window_ok(found.first, int(width)) & listed[of] & ((counts[of] == width) | (width == window))
                     if template != EXACT:
                         fits = np.bincount(of[ok], minlength=part.num_rows)
-                        ok &= literal[np.arange(len(hashes)) + width] - literal[: len(hashes)] >= min(MIN_LITERALS, width)
+                        ok &= literal[np.arange(len(hashes)) + width] - literal[: len(hashes)] >= min(min_literals, width)
                     at = np.flatnonzero(ok)
                     of = of[at]
                     total = np.bincount(of, minlength=part.num_rows)
@@ -213,17 +216,15 @@ def _doc_windows(batches: Iterator[pa.RecordBatch], codes: list[int], members: _
 def _verify(batches: Iterator[pa.RecordBatch], min_share: float, min_run: int) -> Iterator[pa.RecordBatch]:
     """Check the slots of hits that come sorted by document, item, diagonal and item position."""
     group = line = None
-    kept: set[int] = set()
-    altered: set[tuple[int, int]] = set()
-    there: dict[int, int] = {}
-    back: dict[int, int] = {}
+    windows: dict[int, set[frozenset[tuple[int, int]]]] = {}
     best = (False, 0, 0, 0)
     rows: list[tuple[int, int, int, int, int]] = []
 
     def end_line() -> None:
         nonlocal best
-        enough = len(kept) > 0 and (len(kept) >= min_share * total or len(kept) >= min_run)
-        best = max(best, (enough, len(kept), -len(altered), total))
+        kept, altered = consistent(windows)
+        enough = 2 * kept > len(windows) and (kept >= min_share * total or kept >= min_run)
+        best = max(best, (enough, kept, -altered, total))
 
     def end_group() -> None:
         enough, n, changed, of = best
@@ -233,7 +234,7 @@ def _verify(batches: Iterator[pa.RecordBatch], min_share: float, min_run: int) -
     total = 0
     for batch in batches:
         columns = [c.to_pylist() for c in batch.columns]
-        for doc, item, diagonal, at, windows, theirs, ours in zip(*columns, strict=True):
+        for doc, item, diagonal, at, of, theirs, ours in zip(*columns, strict=True):
             if (doc, item, diagonal) != line:
                 if line is not None:
                     end_line()
@@ -241,18 +242,10 @@ def _verify(batches: Iterator[pa.RecordBatch], min_share: float, min_run: int) -
                     if group is not None:
                         end_group()
                     group, best = (doc, item), (False, 0, 0, 0)
-                line, kept, altered, there, back = (doc, item, diagonal), set(), set(), {}, {}
-            total = windows
-            if at in kept:
-                continue
-            pairs = list(zip(np.frombuffer(theirs, SLOT)["value"].tolist(), np.frombuffer(ours, SLOT)["value"].tolist(), strict=True)) if theirs else []
-            new_there, new_back = dict(pairs), {y: x for x, y in pairs}
-            fine = all(new_there[x] == y and new_back[y] == x and there.get(x, y) == y and back.get(y, x) == x for x, y in pairs)
-            if fine:
-                kept.add(at)
-                there |= new_there
-                back |= new_back
-                altered |= {p for p in pairs if p[0] != p[1]}
+                line, windows = (doc, item, diagonal), {}
+            total = of
+            pairs = zip(np.frombuffer(theirs, SLOT)["value"].tolist(), np.frombuffer(ours, SLOT)["value"].tolist(), strict=True) if theirs else ()
+            windows.setdefault(at, set()).add(frozenset(pairs))
         if len(rows) > 1000:
             yield _rows(rows)
             rows = []
@@ -262,13 +255,31 @@ def _verify(batches: Iterator[pa.RecordBatch], min_share: float, min_run: int) -
     yield _rows(rows)
 
 
+def consistent(windows: dict[int, set[frozenset[tuple[int, int]]]]) -> tuple[int, int]:
+    """How many of a diagonal's windows agree about their slots, and how many slots have another value there.
+
+    ``windows`` has, by place, the (item, document) values of its slots (several sets where rows share an id).
+    """
+    if not any(pairs for sets in windows.values() for pairs in sets):
+        return len(windows), 0
+    votes = Counter(p for sets in windows.values() for p in frozenset().union(*sets))
+    there: dict[int, int] = {}
+    back: dict[int, int] = {}
+    for x, y in sorted(votes, key=lambda p: (-votes[p], p)):
+        there.setdefault(x, y)
+        back.setdefault(y, x)
+    fine = [next((p for p in sorted(sets, key=sorted) if all(there[x] == y and back[y] == x for x, y in p)), None) for sets in windows.values()]
+    kept = [p for p in fine if p is not None]
+    return len(kept), len({p for pairs in kept for p in pairs if p[0] != p[1]})
+
+
 def _rows(rows: list[tuple[int, int, int, int, int]]) -> pa.RecordBatch:
     columns = list(zip(*rows, strict=True)) or [()] * 5
     kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "item_id", "matched", "windows", "altered"])
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, min_share: float = MIN_SHARE, min_run: int = MIN_RUN) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, min_share: float = MIN_SHARE, min_run: int = MIN_RUN, min_literals: int = MIN_LITERALS, min_tokens: int = MIN_TOKENS) -> DataFrame:
     """``(doc_id, item_id, matched, windows, altered)``: the items that leak into each document.
 
     ``matched`` of the item's ``windows`` in one template were found, consistently,
@@ -278,7 +289,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text
     """
     prepare(docs.sparkSession)
     items = named(benchmark, item_col, item_text_col)
-    index = materialise(items.mapInArrow(lambda it: _item_windows(it, window), "key bigint, width int, item_id bigint, item_at int, windows int, item_slots binary").distinct())
+    index = materialise(items.mapInArrow(lambda it: _item_windows(it, window, min_literals, min_tokens), "key bigint, width int, item_id bigint, item_at int, windows int, item_slots binary").distinct())
     codes = sorted(r.width for r in index.select("width").distinct().collect())  # at most as many for a template as a window has tokens
     number = index.select("key").distinct().count()
     sent = None
@@ -296,5 +307,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """``docs`` without the documents that an item leaks into; all columns stay."""
+    """``docs`` without the documents that an item leaks into; all columns stay.
+
+    Rows without an id, and null and empty texts, stay; all rows of an id that an item leaks into go.
+    """
     return without(docs, leaks(docs, benchmark, id_col=id_col, **options).select("doc_id").distinct(), id_col)
