@@ -10,6 +10,9 @@ output is compared with the one before:
   outputs part, ``rewrites`` is set, and spans of earlier turns that reach beyond
   that place are cut there, since their text has changed.
 
+A conversation of n turns is rendered n times, so the work grows with the square of its
+length: that is the price of knowing nothing about the template.
+
 Spans are character offsets into the rendering of the whole conversation, so
 they can mask a training loss; conversations with a rewriting template can be
 told apart and left out.
@@ -27,7 +30,7 @@ from pyspark.sql import functions as F
 from brindle.llm.runtime import prepare
 
 Template = Callable[[list[dict[str, str]]], str]
-FIELDS = "conv_id bigint, position int, turn bigint, role string, span_start int, span_end int, piece string, rewrites boolean"
+FIELDS = "template string, conv_id bigint, position int, turn bigint, role string, span_start int, span_end int, piece string, rewrites boolean"
 
 
 def chatml(messages: list[dict[str, str]]) -> str:
@@ -70,17 +73,21 @@ def turn_spans(messages: list[dict[str, str]], template: Template) -> tuple[str,
     return before, spans
 
 
-def _render(batches: Iterator[pa.RecordBatch], template: Template) -> Iterator[pa.RecordBatch]:
-    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.bool_()]
+TEMPLATES: dict[str, Template] = {"chatml": chatml, "bracketed": bracketed, "last_answer": last_answer}
+
+
+def _render(batches: Iterator[pa.RecordBatch], templates: dict[str, Template]) -> Iterator[pa.RecordBatch]:
+    kinds = [pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.bool_()]
     names = [x.split()[0] for x in FIELDS.split(", ")]
     for batch in batches:
         rows: list[tuple] = []
         size = 0
         for conv, turns in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            text, spans = turn_spans([{"role": t["role"], "content": t["content"]} for t in turns], template)
-            for i, (t, (start, end, rewrites)) in enumerate(zip(turns, spans, strict=True)):
-                rows.append((conv, i, t["turn"], t["role"], start, end, text[start:end], rewrites))
-            size += len(text)
+            for name, template in templates.items():
+                text, spans = turn_spans([{"role": t["role"], "content": t["content"]} for t in turns], template)
+                for i, (t, (start, end, rewrites)) in enumerate(zip(turns, spans, strict=True)):
+                    rows.append((name, conv, i, t["turn"], t["role"], start, end, text[start:end], rewrites))
+                size += len(text)
             if size > 4_000_000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
                 rows, size = [], 0
@@ -88,8 +95,8 @@ def _render(batches: Iterator[pa.RecordBatch], template: Template) -> Iterator[p
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
 
-def format_turns(conversations: DataFrame, template: Template = chatml, *, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """One row a turn: its span in its conversation's rendering, and the text there.
+def format_turns(conversations: DataFrame, templates: dict[str, Template] = TEMPLATES, *, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
+    """One row a turn and template: the turn's span in its conversation's rendering, and the text there.
 
     ``position`` counts a conversation's rows in the order of (turn, role, text),
     nulls first, so ties and repeated rows have a fixed order, and every row is a
@@ -102,4 +109,4 @@ def format_turns(conversations: DataFrame, template: Template = chatml, *, conv_
         F.struct(F.col(f"`{turn_col}`").cast("bigint").alias("turn"), F.coalesce(F.col(f"`{role_col}`").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("content")).alias("said"),
     ).where("conv_id is not null")
     whole = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("said")).alias("turns"))
-    return whole.mapInArrow(lambda it: _render(it, template), FIELDS)
+    return whole.mapInArrow(lambda it: _render(it, templates), FIELDS)

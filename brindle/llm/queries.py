@@ -53,7 +53,7 @@ def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.format_turns(_table(spark, sf_dir, "conversations"))
+    return chat.format_turns(_table(spark, sf_dir, "conversations"), {"chatml": chat.chatml, "last_answer": chat.last_answer})
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -77,8 +77,37 @@ with said as (
          '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) as piece from said
 ), ended as (
   select *, sum(length(piece)) over (partition by conv_id order by position) as span_end from ordered
+), marked as (
+  -- the answers: all but the last one of a rendering shrink to three dots
+  select conv_id, position, turn, role, text, role = 'assistant' as answer,
+         '<' || role || '>' || text || '</' || role || '>' as whole,
+         '<' || role || '>' || case when role = 'assistant' then '...' else text end || '</' || role || '>' as short,
+         max(case when role = 'assistant' then position end) over (partition by conv_id order by position rows between unbounded preceding and 1 preceding) as previous,
+         max(case when role = 'assistant' then position end) over (partition by conv_id) as last_answer
+  from ordered
+), placed as (
+  select *, coalesce(sum(length(short)) over (partition by conv_id order by position rows between unbounded preceding and 1 preceding), 0) as short_start from marked
+), joined as (
+  -- the rendering before a turn ends where its short form would, and the last answer's rest
+  select a.*, b.short_start + length('<assistant>') + case when b.text like '...%' then 3 when b.text like '..%' then 2 when b.text like '.%' then 1 else 0 end as parting,
+         b.text as old_text, a.short_start + coalesce(length(b.whole) - length(b.short), 0) as before_end
+  from placed a left join placed b on a.conv_id = b.conv_id and a.previous = b.position
+), turned as (
+  -- a text of dots alone parts where its own end tag meets the dots; three dots don't change
+  select *, coalesce(answer and old_text <> '...', false) as rewrites from joined
+), spans as (
+  select *, case when rewrites then parting else before_end end as own_start,
+         case when rewrites or answer then short_start + length(whole) else before_end + length(whole) end as own_end,
+         min(case when rewrites then parting end) over (partition by conv_id order by position rows between 1 following and unbounded following) as cut
+  from turned
+), rendered as (
+  select conv_id, string_agg(case when position = last_answer then whole else short end, '' order by position) as text from placed group by conv_id
+), least_spans as (
+  select *, least(own_start, coalesce(cut, own_start)) as s, least(own_end, coalesce(cut, own_end)) as e from spans
 )
-select conv_id, position::INTEGER as position, turn, role, (span_end - length(piece))::INTEGER as span_start, span_end::INTEGER as span_end, piece, false as rewrites from ended
+select 'chatml' as template, conv_id, position::INTEGER as position, turn, role, (span_end - length(piece))::INTEGER as span_start, span_end::INTEGER as span_end, piece, false as rewrites from ended
+union all
+select 'last_answer', conv_id, position::INTEGER, turn, role, s::INTEGER, e::INTEGER, substr(r.text, s::BIGINT + 1, (e - s)::BIGINT), rewrites from least_spans join rendered r using (conv_id)
 """
 
 #: Training, dedup groups, parses, plans and fitted mixtures are beyond SQL; the tests hold them against brute force.

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
 import io
 import tempfile
@@ -17,6 +18,23 @@ BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
 _shipped: set[str] = set()
+_folders: dict[str, str] = {}
+
+
+def _folder(spark: SparkSession) -> str:
+    """This application's own folder in the shared one; it is deleted when the driver's Python ends."""
+    app = spark.sparkContext.applicationId
+    if app not in _folders:
+        _folders[app] = f"{shared_dir(spark)}/brindle/{app}"
+        atexit.register(_clear, spark, _folders[app])
+    return _folders[app]
+
+
+def _clear(spark: SparkSession, folder: str) -> None:
+    if spark.sparkContext._jsc is None:  # stopped before; the folder stays
+        return
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def _ship(spark: SparkSession) -> None:
@@ -29,7 +47,7 @@ def _ship(spark: SparkSession) -> None:
     with zipfile.ZipFile(buffer, "w") as out:
         for source in sorted(package.rglob("*.py")):
             out.write(source, source.relative_to(package.parent))
-    path = f"{shared_dir(spark)}/brindle/code-{uuid.uuid4().hex}/brindle.zip"
+    path = f"{_folder(spark)}/code/brindle.zip"
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     stream = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target)
     stream.write(bytearray(buffer.getvalue()))
@@ -66,7 +84,7 @@ def materialise(df: DataFrame) -> DataFrame:
 
     Lineage ends there, so a lost executor costs at most the tasks it ran.
     """
-    path = f"{shared_dir(df.sparkSession)}/brindle/{uuid.uuid4().hex}"
+    path = f"{_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     written = df.sparkSession.read.schema(df.schema).parquet(path)
     written._brindle_path = path

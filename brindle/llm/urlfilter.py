@@ -21,11 +21,14 @@ for the matches, and only matches are shuffled.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brindle.llm.runtime import materialise, prepare
+
 RULES = [
     "||spam-farm.example.org^",
     "||cheap-pills.example.com^",
@@ -70,22 +73,45 @@ def parse(rule: str) -> tuple[str, str, list[str]]:
     return action, pattern, sorted(set(tokens))
 
 
-def match(pages: DataFrame, rules: list[str] | None = None, *, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+KINDS = pa.schema([("rule", pa.string()), ("action", pa.string()), ("pattern", pa.string()), ("tokens", pa.list_(pa.string()))])
+
+
+def _is_rule(text: str | None) -> bool:
+    return bool(text and text.strip("|*^@ "))
+
+
+def _parsed(rules: list[str]) -> pa.Table:
+    return pa.Table.from_pylist([dict(zip(KINDS.names, (r, *parse(r)), strict=True)) for r in rules if _is_rule(r)], KINDS)
+
+
+def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield from _parsed(batch.column(0).to_pylist()).to_batches()
+
+
+def match(pages: DataFrame, rules: list[str] | DataFrame | None = None, *, id_col: str = "page_id", url_col: str = "url", rule_col: str = "rule") -> DataFrame:
     """``(page_id, url, blocked, block_rules, allow_rules)`` for every row that a rule matches.
 
     A URL is compared in lower case.  It is blocked if a blocking rule matches and
     no exception does; the last two columns count the rules.  Rules that repeat
-    count once.  Null URLs and ids match nothing; rows with equal id and URL are
+    count once; ``rules`` is a list of them, or a table with a column ``rule_col``, of any length; null
+    and empty rules are left out.  Null URLs and ids match nothing; rows with equal id and URL are
     one row of the result; an empty rule list gives an empty result.
     """
     spark: SparkSession = pages.sparkSession
-    parsed = [(i, *parse(r)) for i, r in enumerate(dict.fromkeys(RULES if rules is None else rules)) if r.strip("|*^@ ")]
-    small = F.broadcast if len(parsed) <= MAX_SENT else (lambda df: df)
-    kinds = pa.schema([("rule", pa.int32()), ("action", pa.string()), ("pattern", pa.string()), ("tokens", pa.list_(pa.string()))])
-    rule_rows = spark.createDataFrame(pa.Table.from_pylist([dict(zip(kinds.names, x, strict=True)) for x in parsed], kinds))  # a local relation, without a job
+    if isinstance(rules, DataFrame):
+        prepare(spark)
+        texts = rules.select(F.col(f"`{rule_col}`").cast("string").alias("rule")).distinct()
+        rule_rows = materialise(texts.mapInArrow(_parse_batches, "rule string, action string, pattern string, tokens array<string>"))
+        number, bare = rule_rows.agg(F.count("*"), F.count_if(F.size("tokens") == 0)).first()
+    else:
+        parsed = _parsed(list(dict.fromkeys(RULES if rules is None else rules)))
+        number, bare = len(parsed), sum(not x for x in parsed.column("tokens").to_pylist())
+        rule_rows = spark.createDataFrame(parsed)  # a local relation, without a job
+    small = F.broadcast if number <= MAX_SENT else (lambda df: df)
     urls = pages.select(F.col(f"`{id_col}`").cast("bigint").alias("page_id"), F.col(f"`{url_col}`").cast("string").alias("url")).where("page_id is not null and url is not null")
     found_tokens = F.split(F.lower("url"), "[^a-z0-9]+")
-    if any(not x[3] for x in parsed):  # the empty token stands for rules without one
+    if bare:  # the empty token stands for rules without one
         found_tokens = F.concat(F.array(F.lit("")), found_tokens)
     tokens = urls.select("page_id", "url", F.explode(F.array_distinct(found_tokens)).alias("token"))
     candidates = rule_rows.select("rule", F.explode("tokens").alias("token"))
@@ -101,7 +127,7 @@ def match(pages: DataFrame, rules: list[str] | None = None, *, id_col: str = "pa
 
 def rules_sql(rules: list[str] | None = None) -> str:
     """The same in DuckDB's SQL, every rule run on every URL of ``pages``."""
-    parsed = [parse(r)[:2] for r in dict.fromkeys(RULES if rules is None else rules) if r.strip("|*^@ ")]
+    parsed = [parse(r)[:2] for r in dict.fromkeys(RULES if rules is None else rules) if _is_rule(r)]
     tests = {x: " + ".join(f"(regexp_matches(lower(url), '{p}'))::BIGINT" for a, p in parsed if a == x) or "0" for x in ("block", "allow")}
     return f"""select page_id, url, block_rules > 0 and allow_rules = 0 as blocked, block_rules, allow_rules from (
 select distinct page_id, url, {tests["block"]} as block_rules, {tests["allow"]} as allow_rules from pages where page_id is not null and url is not null
