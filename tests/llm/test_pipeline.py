@@ -2,7 +2,7 @@
 
 import corpus_pipeline
 from brindle.llm import decontaminate, runtime
-from tests.llm.common import words
+from tests.llm.common import awkward, empty, words
 from tests.llm.test_minhash import brute as groups
 from tests.llm.test_packing import check
 from tests.llm.test_repeats import brute as repeats
@@ -31,3 +31,28 @@ def test_stages(spark, sf):
 
 def test_run(spark, sf):
     assert corpus_pipeline.run(spark, sf).count() > 0
+
+
+def test_awkward_and_empty_tables(spark, sf, tmp_path):
+    """Nulls, empty and very long texts, repeated rows and clashing columns go through all stages."""
+    labels = spark.createDataFrame([(1, 0, 0), (2, None, None), (None, 1, 1), (6, 0, 0), (7, 1, 0)], "doc_id bigint, quality int, toxic int")
+    bench = spark.createDataFrame([(1, "naïve ünïcode ☃ " * 8), (2, None), (None, "short")], "item_id bigint, text string")
+    for name, docs in (("awkward", awkward(spark)), ("empty", empty(spark))):
+        folder = tmp_path / name
+        for table, df in (("documents", docs), ("labels", labels), ("benchmark", bench)):
+            df.write.parquet(f"{folder}/{table}.parquet")
+        now = spark.read.parquet(f"{folder}/documents.parquet")
+        schema, before = now.dtypes, now.count()
+        for at, (stage, work) in enumerate(corpus_pipeline.STAGES):
+            now = runtime.materialise(work(spark, now, str(folder)))
+            if at < 4:
+                assert now.dtypes == schema, stage
+                if name == "awkward":
+                    assert now.where("doc_id is null").count() == 2, stage
+                    assert {r.doc_id for r in now.where("doc_id in (3, 4, 5, 7, 11)").collect()} == {3, 4, 5, 7, 11}, stage
+            if stage == "near_duplicates" and name == "awkward":
+                assert now.where("doc_id = 10").count() == 0 and now.where("doc_id = 1").count() == 1
+            if stage == "repeated_passages" and name == "awkward":  # a text that repeats three words keeps them once
+                assert {r.text.strip() for r in now.where("doc_id = 9").collect()} == {"naïve ünïcode ☃"}
+        assert (now.count() > 0) == (before > 0)
+        assert corpus_pipeline.run(spark, str(folder)).count() == now.count()
