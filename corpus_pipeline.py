@@ -1,4 +1,9 @@
-"""A training corpus from ``documents``: the stages, in order."""
+"""A training corpus from ``documents``: the stages, in order.
+
+Every stage keeps all columns and, unless it says otherwise, rows without an id, with a null
+or empty text, and repeated rows; on an empty table each gives an empty one.  Columns may
+have any further names.
+"""
 
 from __future__ import annotations
 
@@ -8,28 +13,40 @@ from brindle.llm import decontaminate, minhash, packing, runtime, suffixes, toxi
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents that the factorization machine rejects."""
+    """Drop the documents that the factorization machine rejects.
+
+    It is fitted on the ``labels`` of these documents; without any label nothing goes.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return toxicity.reject(docs, toxicity.train(docs, labels))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near copies."""
+    """Keep one document of each group of near copies, the one of the least id.
+
+    Rows without an id or words stay; rows that share an id stay or go together.
+    """
     return minhash.keep_one(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cut passages that repeat an earlier one; documents with nothing else go."""
+    """Cut passages that repeat an earlier one; documents with nothing else go.
+
+    Rows without an id stay as they are; a text that is cut gets its new ``n_chars``.
+    """
     return suffixes.cut_repeats(docs)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents that a benchmark item leaks into."""
+    """Drop the documents that a benchmark item leaks into; rows without an id stay."""
     return decontaminate.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pack what is left into training sequences: the place of every piece."""
+    """Pack what is left into training sequences: the place of every piece.
+
+    Rows without an id can't be placed and have no row here.
+    """
     return packing.pack(docs)
 
 
