@@ -101,7 +101,7 @@ def run(engine: Engine, text: str) -> list[str]:
             result = engine.sql(record.sql)
             rows = [tuple(r) for r in result.collect()] if result is not None else []
         except Exception as e:
-            if not wrong:
+            if not wrong or str(e).startswith("not supported"):  # a gap of ours isn't the error that is wanted
                 failures.append(f"{record.line}: {str(e).splitlines()[0]}")
             continue
         if wrong:
