@@ -15,7 +15,8 @@ def _whole(name: str, x: str) -> str:
 def _trunc(x: str, n: str | None = None) -> str:
     if n is not None:
         return f"({_trunc(f'(({x}) * pow(10D, {n}))')} / pow(10D, {n}))"
-    return f"(case when ({x}) < 0 then {_whole('ceil', x)} else {_whole('floor', x)} end)"
+    d = f"cast({x} as double)"
+    return f"nanvl({d} - {d} % 1D, {d})"  # the remainder is exact; that of an infinity is NaN
 
 
 def _round(x: str, n: str | None = None) -> str:

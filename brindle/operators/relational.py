@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from brindle.plans.dialect import to_spark
 
-#: name -> SQL of an aggregate of one argument; all but COUNT are NULL over no values.
+#: name -> an aggregate of one argument in the dialect; all but COUNT are NULL over no values, SUM and AVG refuse strings.
 AGGREGATES = {
-    "any_value": "any_value({})", "count": "count({})", "logical_and": "bool_and({})", "logical_or": "bool_or({})", "max": "max({})", "min": "min({})", "sum": "sum({})", "avg": "avg(cast({} as double))",
-    "count_distinct": "count(distinct {})", "sum_distinct": "sum(distinct {})", "avg_distinct": "avg(distinct cast({} as double))",
-}
+    **{name: name + "({})" for name in "any_value count logical_and logical_or max min sum avg".split()},
+    **{f"{name}_distinct": name + "(distinct {})" for name in ("count", "sum", "avg")},
+}
 
 
 def expression(text: str) -> Column:
@@ -37,7 +37,7 @@ def aggregate(df: DataFrame, by: list[str] | None = None, **columns: str | tuple
 
     Without ``by`` there is one row, also over no input.  ``("count", "*")`` counts rows.
     """
-    made = [F.expr(AGGREGATES[f].format("*" if text == "*" else to_spark(text))).alias(name) for name, (f, text) in columns.items()]
+    made = [expression(AGGREGATES[f].format(text)).alias(name) for name, (f, text) in columns.items()]
     if not made:
         return df.select(*(by or [])).distinct()
     return df.groupBy(*by).agg(*made) if by else df.agg(*made)

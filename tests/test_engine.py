@@ -131,3 +131,84 @@ def test_statistics(spark):
     assert abs(found["columns"]["g"]["distinct"] - 100) <= 10 and abs(found["columns"]["id"]["distinct"] - 10_000) < 1500
     assert abs(stats.selectivity(found["columns"]["id"], 10_000, 0, 4999) - 0.5) < 0.06
     assert abs(stats.selectivity(found["columns"]["g"], 10_000, 5, 5) - 0.01) < 0.002
+
+
+def test_transactions(engine):
+    engine.sql("create table t(a integer); create table u(a integer); insert into t values (1), (2)")
+    with engine.transaction() as first:
+        engine.sql("delete from t where a = 1; insert into u select a from t; insert into u values (xid())")
+        assert rows(engine.sql("select a from u")) == rows_of((2,), (first,))
+        assert rows(engine.table("u", 0)) == []
+    assert rows(engine.sql("select a from t")) == [(2,)] and rows(engine.sql("select a from u")) == rows_of((2,), (first,))
+    before = engine.snapshot("t")
+    with pytest.raises(AssertionError), engine.transaction() as second:
+        engine.sql("insert into t values (9); assert (select count(*) from t) = 7")
+    assert second == first + 1 and engine.snapshot("t") == before and rows(engine.sql("select a from t")) == [(2,)]
+    # a table that another writer has changed meanwhile
+    data = engine.catalog.table(["t"]).data
+    other = type(data)(engine.spark, data.path, data.columns)
+    with pytest.raises(Exception), engine.transaction():
+        engine.sql("insert into t values (3)")
+        other.insert(engine.spark.sql("select 4"))
+    assert rows(engine.sql("select a from t")) == rows_of((2,), (4,))
+
+
+def test_a_catalog_is_found_again(engine, spark):
+    engine.sql("create database a; create table a.t(i integer, s varchar); create index x on a.t(s); insert into a.t values (1, 'b'), (2, 'a')")
+    again = Engine(spark, engine.catalog.root_path)
+    assert rows(again.sql("select i, s from a.t")) == rows(engine.sql("select i, s from a.t"))
+    assert again.catalog.table(["a", "t"]).data.indexed == [["s"]]
+    assert [tuple(r) for r in again.sql("select index_name from metadata.index").collect()] == [("x",)]
+    again.sql("create table a.u(i integer)")
+    assert again.catalog.table(["a", "u"]).id == engine.catalog.table(["a", "t"]).id + 1
+    again.sql("drop table a.t")
+    assert Engine(spark, engine.catalog.root_path).sql("select count(*) from metadata.index").first()[0] == 0
+
+
+def test_an_index_orders_segments_and_filters_row_groups(engine):
+    engine.sql("create table t(k integer, s varchar); insert into t select id % 7, string(date_from_unix_date(id)) from (select explode(sequence(1, 500)) as id); create index x on t(k, s)")
+    engine.sql("insert into t values (3, 'z'), (1, 'y'), (2, 'x')")
+    data = engine.catalog.table(["t"]).data
+    for segment in data.segments():
+        files: dict = {}
+        for r in engine.spark.read.parquet(f"{data.path}/segments/{segment}").selectExpr("k", "s", "_metadata.file_path as f").collect():
+            files.setdefault(r.f, []).append((r.k, r.s))
+        assert all(keys == sorted(keys) for keys in files.values())
+    assert engine.sql("select count(*) from t where k = 3 and s = 'z'").first()[0] == 1
+    plan = engine.sql("explain select s from t where k = 3").first()[0]
+    assert "EqualTo(k,3)" in plan
+
+
+def test_a_change_is_evaluated_once(engine):
+    engine.sql("create table t(a integer, x double); insert into t select explode(sequence(1, 50)), 0.0")
+    engine.sql("update t set x = rand() where rand() < 0.5")
+    changed = engine.sql("select count(*) from t where x > 0").first()[0]
+    assert 0 < changed < 50 and engine.sql("select count(*) from t").first()[0] == 50
+    engine.sql("delete from t where rand() < 0.5")
+    assert 0 < engine.sql("select count(*) from t").first()[0] < 50
+    assert len({engine.snapshot("t")}) == 1
+    engine.catalog.table(["t"]).data.compact()
+    assert len(engine.catalog.table(["t"]).data.segments()) == 1
+
+
+def test_names_in_strings_and_comments_stay(engine):
+    engine.sql("create database shop; create table shop.item(i integer); insert into shop.item values (1)")
+    got = engine.sql("select 'from shop.item where' as v, shop.item.i as i, /* shop.item */ item.i + 1 as j from shop.item where shop.item.i = 1 -- shop.item")
+    assert rows(got) == [("from shop.item where", 1, 2)]
+    assert rows(engine.sql("select x.i, y.i from shop.item x, shop.item as y")) == [(1, 1)]
+
+
+def test_aggregates_refuse_strings(spark):
+    df = spark.sql("select 'a' as s")
+    for f in ("sum", "avg", "sum_distinct"):
+        with pytest.raises(Exception):
+            aggregate(df, x=(f, "s")).collect()
+
+
+def test_trace(engine):
+    import json
+
+    engine.sql("create table t(a integer); insert into t values (1), (2), (2)")
+    events = json.loads(engine.trace("select a, count(*) as n from t where a > @least group by a", {"least": 1}))["traceEvents"]
+    assert events[0]["args"]["rows"] == 1
+    assert {"analysis", "optimization", "planning"} <= {e["name"] for e in events}
