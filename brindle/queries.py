@@ -237,6 +237,8 @@ _text("fn_date_extract", f"select o_orderkey, extract(year from {_DAY}) as a, ex
 _text("fn_date_trunc", f"select o_orderkey, date_trunc({_DAY}, year) as a, date_trunc({_DAY}, quarter) as b, date_trunc({_DAY}, month) as c, date_trunc({_DAY}, isoweek) as d, date_trunc({_DAY}, week) as e, date_trunc({_DAY}, isoyear) as f, date_trunc({_DAY}, day) as g from orders", f"select o_orderkey, date_trunc('year', {_DAY})::DATE as a, date_trunc('quarter', {_DAY})::DATE as b, date_trunc('month', {_DAY})::DATE as c, date_trunc('week', {_DAY})::DATE as d, ({_DAY} - dayofweek({_DAY})::INTEGER)::DATE as e, date_trunc('week', make_date(isoyear({_DAY}), 1, 4))::DATE as f, {_DAY} as g from orders")
 _text("fn_date_add", f"select o_orderkey, date_add({_DAY}, interval 10 day) as a, date_add({_DAY}, interval 2 week) as b, date_add({_DAY}, interval 1 month) as c, date_sub({_DAY}, interval 1 quarter) as d, date_sub({_DAY}, interval 3 year) as e, date_add({_DAY}, interval o_orderkey % 50 day) as f from orders", f"select o_orderkey, ({_DAY} + interval 10 day)::DATE as a, ({_DAY} + interval 14 day)::DATE as b, ({_DAY} + interval 1 month)::DATE as c, ({_DAY} - interval 3 month)::DATE as d, ({_DAY} - interval 3 year)::DATE as e, ({_DAY} + (o_orderkey % 50)::INTEGER)::DATE as f from orders")
 _text("fn_date_diff", f"select o_orderkey, date_diff({_DAY}, date '1995-06-17', day) as a, date_diff({_DAY}, date '1995-06-17', month) as b, date_diff({_DAY}, date '1995-06-17', year) as c, date_diff({_DAY}, date '1995-06-17', isoweek) as d, date_diff({_DAY}, date '1995-06-17', quarter) as e from orders", f"select o_orderkey, date_diff('day', date '1995-06-17', {_DAY}) as a, date_diff('month', date '1995-06-17', {_DAY}) as b, date_diff('year', date '1995-06-17', {_DAY}) as c, date_diff('day', date '1995-06-12', date_trunc('week', {_DAY})::DATE) // 7 as d, (year({_DAY}) - 1995) * 4 + quarter({_DAY}) - 2 as e from orders")
+_text("fn_date_parts", f"select o_orderkey, date_trunc({_DAY}, week(monday)) as a, date_trunc({_DAY}, week(wednesday)) as b, extract(week(wednesday) from {_DAY}) as c, date_diff({_DAY}, date '1995-06-17', week) as d, date_diff({_DAY}, date '1995-06-17', week(monday)) as e, date_diff({_DAY}, date '1995-06-17', week(saturday)) as f, date_diff({_DAY}, date '1995-06-17', isoyear) as g, date_sub({_DAY}, interval 10 day) as h, date_sub({_DAY}, interval 3 week) as i, date_sub({_DAY}, interval 2 month) as j, date_add({_DAY}, interval 1 quarter) as k, date_add({_DAY}, interval 4 year) as l, date_add({_DAY}, interval -1 month) as m from orders", f"select o_orderkey, date_trunc('week', {_DAY})::DATE as a, ({_DAY} - ((dayofweek({_DAY}) + 4) % 7)::INTEGER)::DATE as b, (dayofyear({_DAY}) + 6 - (dayofweek({_DAY}) + 4) % 7) // 7 as c, date_diff('day', date '1995-06-11', ({_DAY} - dayofweek({_DAY})::INTEGER)::DATE) // 7 as d, date_diff('day', date '1995-06-12', date_trunc('week', {_DAY})::DATE) // 7 as e, date_diff('day', date '1995-06-17', ({_DAY} - ((dayofweek({_DAY}) + 1) % 7)::INTEGER)::DATE) // 7 as f, isoyear({_DAY}) - 1995 as g, ({_DAY} - 10)::DATE as h, ({_DAY} - 21)::DATE as i, ({_DAY} - interval 2 month)::DATE as j, ({_DAY} + interval 3 month)::DATE as k, ({_DAY} + interval 4 year)::DATE as l, ({_DAY} - interval 1 month)::DATE as m from orders")
+_text("fn_ts_calendar", "select event_id, extract(month from ts) as a, extract(day from ts) as b, extract(dayofyear from ts) as c, extract(isoyear from ts) as d, extract(week(monday) from ts) as e, cast(timestamp_trunc(ts, week) as timestamp_ntz) as f, cast(timestamp_trunc(ts, isoweek) as timestamp_ntz) as g, cast(timestamp_trunc(ts, quarter) as timestamp_ntz) as h, cast(timestamp_trunc(ts, isoyear) as timestamp_ntz) as i, cast(timestamp_trunc(ts, millisecond) as timestamp_ntz) as j, cast(timestamp_trunc(ts, microsecond) as timestamp_ntz) as k from events", "select event_id, month(ts) as a, day(ts) as b, dayofyear(ts) as c, isoyear(ts) as d, strftime(ts, '%W')::BIGINT as e, (ts::DATE - dayofweek(ts)::INTEGER)::TIMESTAMP as f, date_trunc('week', ts)::TIMESTAMP as g, date_trunc('quarter', ts)::TIMESTAMP as h, date_trunc('week', make_date(isoyear(ts), 1, 4))::TIMESTAMP as i, date_trunc('millisecond', ts) as j, ts as k from events")
 _text("fn_ts_arith", "select event_id, cast(timestamp_add(ts, interval 90 minute) as timestamp_ntz) as a, cast(timestamp_sub(ts, interval 1 day) as timestamp_ntz) as b, timestamp_diff(timestamp '2024-06-01 12:00:00', ts, hour) as c, timestamp_diff(timestamp '2024-06-01 12:00:00', ts, day) as d, cast(timestamp_trunc(ts, hour) as timestamp_ntz) as e, cast(timestamp_trunc(ts, month) as timestamp_ntz) as f, extract(second from ts) as g, extract(millisecond from ts) as h from events", "select event_id, ts + interval 90 minute as a, ts - interval 1 day as b, cast(trunc((epoch_us(timestamp '2024-06-01 12:00:00') - epoch_us(ts)) / 3600000000) as BIGINT) as c, date_diff('day', ts::DATE, date '2024-06-01') as d, date_trunc('hour', ts) as e, date_trunc('month', ts)::TIMESTAMP as f, second(ts) as g, (epoch_us(ts) % 1000000) // 1000 as h from events")
 _text("fn_ts_epoch", "select event_id, unix_micros(ts) as a, unix_millis(ts) as b, unix_date(cast(ts as date)) as c, date_from_unix_date(event_id % 20000) as d, cast(timestamp_from_unix_micros(event_id * 1000003) as timestamp_ntz) as e, date(2020, 1 + event_id % 12, 1 + event_id % 28) as f from events", "select event_id, epoch_us(ts) as a, epoch_us(ts) // 1000 as b, date_diff('day', date '1970-01-01', ts::DATE) as c, (date '1970-01-01' + (event_id % 20000)::INTEGER)::DATE as d, make_timestamp(event_id * 1000003) as e, make_date(2020, 1 + event_id % 12, 1 + event_id % 28) as f from events")
 _text("fn_format_parse", f"select o_orderkey, format_date('%Y/%m/%d', {_DAY}) as a, format_date('%b %d, %y', {_DAY}) as b, format_timestamp('%H:%M', o_orderdate) as c, parse_date('%d.%m.%Y', concat(lpad(cast(1 + o_orderkey % 28 as string), 2, '0'), '.02.2021')) as d, string({_DAY}) as e from orders", f"select o_orderkey, strftime({_DAY}, '%Y/%m/%d') as a, strftime({_DAY}, '%b %d, %y') as b, strftime(o_orderdate, '%H:%M') as c, make_date(2021, 2, 1 + o_orderkey % 28) as d, strftime({_DAY}, '%Y-%m-%d') as e from orders")
