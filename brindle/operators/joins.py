@@ -24,8 +24,12 @@ def join(left: DataFrame, right: DataFrame, on: str | list[str] | Column | None,
 
 def mark(left: DataFrame, right: DataFrame, keys: list[str], name: str) -> DataFrame:
     """``left`` with a BOOLEAN column, never NULL: whether ``right`` has a row with equal ``keys``."""
-    there = right.select(*keys).distinct().withColumn(name, F.lit(True))
-    return left.join(there, keys, "left").withColumn(name, F.coalesce(F.col(name), F.lit(False)))
+    taken = {c.lower() for c in left.columns + right.columns}
+    made = [next(n for i in range(len(taken) + 1) if (n := f"mark_{at}_{i}") not in taken) for at in range(len(keys))]
+    there = right  # an existence join: the right side isn't made distinct first
+    for k, n in zip(keys, made, strict=True):
+        there = there.where(F.col(k) == F.col(n).outer())
+    return left.withColumns({n: F.col(k) for k, n in zip(keys, made, strict=True)}).withColumn(name, there.exists()).drop(*made)
 
 
 def single(left: DataFrame, right: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
