@@ -72,14 +72,16 @@ class FactorizationMachine:
         return out
 
 
-def _bits(doc: np.ndarray, at: np.ndarray, terms: np.ndarray, n: int, docs: int) -> np.ndarray:
-    """Which documents each of ``terms`` (of ``n``) is in, a bit a document."""
+def _bits(doc: np.ndarray, at: np.ndarray, terms: np.ndarray, n: int, inside: np.ndarray) -> np.ndarray:
+    """Which of the documents ``inside`` each of ``terms`` (of ``n``) is in, a bit a document."""
     row = np.full(n, -1, dtype=np.int32)
     row[terms] = np.arange(len(terms))
-    out = np.zeros((len(terms), -(-docs // 64) * 8), dtype=np.uint8)
+    place = np.where(inside, np.cumsum(inside) - 1, -1).astype(np.int32)
+    out = np.zeros((len(terms), -(-int(inside.sum()) // 64) * 8), dtype=np.uint8)
     for s in range(0, len(at), 500_000):
-        r, d = row[at[s : s + 500_000]], doc[s : s + 500_000]
-        r, d = r[r >= 0], d[r >= 0]
+        r, d = row[at[s : s + 500_000]], place[doc[s : s + 500_000]]
+        known = (r >= 0) & (d >= 0)
+        r, d = r[known], d[known]
         np.bitwise_or.at(out, (r, d >> 3), (1 << (d & 7)).astype(np.uint8))
     return out.view(np.uint64)
 
@@ -124,14 +126,18 @@ def _in_pairs(doc: np.ndarray, at: np.ndarray, y: np.ndarray, df: np.ndarray, po
         there = (y > 0) == bool(side)
         place = np.where(there, np.cumsum(there, dtype=np.int32) - 1, -1).astype(np.int32)
         use = there[doc] & (row[at] >= 0)
-        r, d = row[at[use]], place[doc[use]]
-        order = np.argsort(r, kind="stable").astype(np.int32)
-        r, d = r[order], d[order]
-        del use, order
-        edge = np.searchsorted(r, np.arange(len(can) + 1))
         width = int(place.max()) + 1
+        low = max(1, width - 1).bit_length()
+        key = row[at[use]].astype(np.uint32 if len(can).bit_length() + low <= 32 else np.uint64)  # term and document in one number, sorted in place
+        key <<= low
+        key |= place[doc[use]].astype(key.dtype)
+        del use
+        key.sort()
+        edge = np.searchsorted(key, np.arange(len(can) + 1).astype(key.dtype) << low)
+        key &= (1 << low) - 1
+        d = key.view(np.int32) if key.dtype == np.uint32 else key.astype(np.int32)
         step = max(1, min(1024, BLOCK // max(1, width)))
-        bits = _bits(doc, at, can, n, docs)
+        bits = _bits(doc, at, can, n, ~there)  # of the other side
 
         def block(rows: np.ndarray) -> np.ndarray:
             out = np.zeros((len(rows), width), dtype=np.float32)  # noqa: B023
@@ -159,7 +165,7 @@ def _in_pairs(doc: np.ndarray, at: np.ndarray, y: np.ndarray, df: np.ndarray, po
                 i, j, k = i[fresh], j[fresh], k[fresh]
                 for c in range(0, len(i), PAIRS):
                     ii, jj = i[c : c + PAIRS], j[c : c + PAIRS]
-                    total = np.bitwise_count(bits[ii] & bits[jj]).sum(axis=1)
+                    total = k[c : c + PAIRS] + np.bitwise_count(bits[ii] & bits[jj]).sum(axis=1)
                     e, p = expected(can[ii], can[jj], side), k[c : c + PAIRS] / total
                     kl = p * np.log(np.maximum(p, 1e-9) / e) + (1 - p) * np.log(np.maximum(1 - p, 1e-9) / (1 - e))
                     found = (p > e) & (total * kl >= limit)
